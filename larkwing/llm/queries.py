@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import UPPER, LOWER, read
 from .exact_dedup import exact_dedup
+from . import language_id as _language
+from . import toxicity as _toxicity
 from .license_scan import BASE, STEP, TEMPLATES, license_scan
 from .mixing import mix_sources
 from .token_counts import token_counts
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return _language.language_id(docs, _language.fit(docs))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents")).drop("matches")
 
@@ -29,7 +36,12 @@ def op9_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).drop("rate", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_token_counts, op8_exact_dedup, op9_entropy_mixing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return _toxicity.toxicity(docs, _toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_license_scan, op4_token_counts, op8_exact_dedup, op9_entropy_mixing, op10_toxicity)}
 
 _OP8 = f"""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
@@ -42,10 +54,10 @@ def _op3() -> str:
     base = ", ".join(f"('{label}', {[*phrase.split()]})" for phrase, label in BASE.items())
     own = ", ".join(f"('{label}', {sorted(set(text.split()))})" for label, text in TEMPLATES)
     return rf"""
-WITH w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 base(label, phrase) AS (VALUES {base}),
 own(label, tokens) AS (VALUES {own}),
-places AS (SELECT doc_id, label, unnest(list_filter(range(len(ws)), i -> ws[i + 1:i + len(phrase)] = phrase)) AS pos FROM w, base),
+places AS (SELECT doc_id, label, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1:i + len(phrase)] = phrase)) AS pos FROM w, base),
 by_base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
 blocks AS MATERIALIZED (SELECT doc_id, ws[b + 1:b + {2 * STEP}] AS block FROM (SELECT doc_id, ws, unnest(range(0, len(ws), {STEP})) AS b FROM w)),
 matched AS (SELECT doc_id, label, len(list_intersect(tokens, block)) / len(tokens) AS containment FROM blocks, own WHERE len(list_intersect(tokens, block)) >= ceil(0.85 * len(tokens) - 1e-9)),
