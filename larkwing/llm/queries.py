@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import UPPER, LOWER, read
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .html_text import html_text
 from . import language_id as _language
 from . import toxicity as _toxicity
 from .license_scan import BASE, STEP, TEMPLATES, license_scan
@@ -28,6 +30,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(read(spark, sf_dir, "pages"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -41,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.toxicity(docs, _toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_license_scan, op4_token_counts, op8_exact_dedup, op9_entropy_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_license_scan, op4_token_counts, op6_html_text, op7_decontamination, op8_exact_dedup, op9_entropy_mixing, op10_toxicity)}
 
 _OP8 = f"""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
