@@ -8,6 +8,7 @@ from .common import UPPER, LOWER, read
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .html_text import html_text
+from .jaccard_join import jaccard_components
 from . import language_id as _language
 from . import toxicity as _toxicity
 from .license_scan import BASE, STEP, TEMPLATES, license_scan
@@ -30,6 +31,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(read(spark, sf_dir, "pages"))
 
@@ -51,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.toxicity(docs, _toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_license_scan, op4_token_counts, op6_html_text, op7_decontamination, op8_exact_dedup, op9_entropy_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_license_scan, op4_token_counts, op5_jaccard_join, op6_html_text, op7_decontamination, op8_exact_dedup, op9_entropy_mixing, op10_toxicity)}
 
 _OP8 = f"""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
