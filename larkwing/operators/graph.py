@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .distance import nearest_neighbors
+from .shared import Steps
 
 
 def row_standardize(edges: DataFrame) -> DataFrame:
@@ -52,23 +53,29 @@ def spatial_lag(values: DataFrame, edges: DataFrame, keys: list[str], alt: str,
 
 def power_series_filter(values: DataFrame, edges: DataFrame, keys: list[str], alt: str, value: str, rho: float, terms: int) -> DataFrame:
     """(keys, alt, filtered): sum over k < terms of rho^k W^k v, the spatial filter where alternatives are too many to invert;
-    the error shrinks as rho^terms. Every term is one edge join."""
+    the error shrinks as rho^terms. Every term is one edge join, its result a table in the shared folder."""
+    steps = Steps(values.sparkSession, "series")
     total = values.select(*keys, alt, F.col(value).alias("filtered"), F.col(value).alias("_term"))
-    for _ in range(terms - 1):
-        lag = spatial_lag(total.select(*keys, alt, "_term"), edges, keys, alt, "_term")
+    for k in range(terms - 1):
+        total = steps.table(total, f"term-{k}")
+        lag = spatial_lag(total, edges, keys, alt, "_term")
         total = total.drop("_term").join(lag, [*keys, alt]).select(*keys, alt, (F.col("filtered") + rho * F.col("lag")).alias("filtered"), (rho * F.col("lag")).alias("_term"))
     return total.drop("_term")
 
 
 def hop_distances(edges: DataFrame, sources: list, max_order: int) -> DataFrame:
     """(source, alt, hops): fewest edges from each source, up to max_order, by joins of the frontier."""
+    steps = Steps(edges.sparkSession, "hops")
     links = edges.filter("weight > 0 and focal <> neighbor").select(F.col("focal").alias("a"), F.col("neighbor").alias("b"))
-    links = links.union(links.select("b", "a")).distinct()
+    links = steps.table(links.union(links.select("b", "a")).distinct(), "links")
     spark, kind = edges.sparkSession, dict(edges.dtypes)["focal"]
     seen = spark.createDataFrame([(s, s, 0) for s in sources], f"source {kind}, alt {kind}, hops int")
     front = seen
     for h in range(1, max_order + 1):
         front = front.join(links, front["alt"] == links["a"]).select("source", F.col("b").alias("alt")).distinct().join(seen, ["source", "alt"], "left_anti").withColumn("hops", F.lit(h))
+        front = steps.table(front, f"front-{h}")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

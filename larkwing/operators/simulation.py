@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import warnings
 
 from pyspark.sql import DataFrame
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.uniform import uniform
+from .shared import Steps
 
 
 def draw(probabilities: DataFrame, u: str = "u", keys: tuple[str, ...] = ("draw", "obs")) -> DataFrame:
@@ -28,12 +27,6 @@ def simulate(probabilities: DataFrame, n_draws: int = 1, seed: int = 0) -> DataF
     return draw(rows.withColumn("u", uniform(seed, "draw", "obs")))
 
 
-def _written(df: DataFrame, root: str, name: str) -> DataFrame:
-    path = f"{root}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def capacity_lottery(probabilities: DataFrame, capacity: dict | DataFrame, n_draws: int = 1, seed: int = 0, max_rounds: int = 100) -> DataFrame:
     """(draw, obs, alt, probability, round). In each round those not yet placed draw among alternatives with room; where more
     come than there is room, a random part of them is placed. Alternatives without capacity take all. Who finds no open
@@ -49,23 +42,22 @@ def capacity_lottery(probabilities: DataFrame, capacity: dict | DataFrame, n_dra
     room = capacity.filter(F.col(c).isNotNull() & (F.col(c) < float("inf"))).select(F.col(a).cast(kind).alias("alt"), F.floor(c).cast("long").alias("room"))
     draws = spark.range(n_draws).select(F.col("id").cast("int").alias("draw"))
     room = room.crossJoin(F.broadcast(draws))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="larkwing-")
-    root = f"{shared.rstrip('/')}/lottery-{uuid.uuid4().hex}"
-    base = _written(probabilities.filter("probability > 0"), root, "probabilities")
-    people = _written(probabilities.select("obs").distinct().crossJoin(F.broadcast(draws)), root, "people-0")
-    room, placed, n = _written(room, root, "room-0"), None, 0
+    steps = Steps(spark, "lottery")
+    base = steps.table(probabilities.filter("probability > 0"), "probabilities")
+    people = steps.table(probabilities.select("obs").distinct().crossJoin(F.broadcast(draws)), "people-0")
+    room, placed, n = steps.table(room, "room-0"), None, 0
     for n in range(1, max_rounds + 1):
         open_ = people.join(base, "obs").join(room, ["draw", "alt"], "left").filter("room is null or room > 0").drop("room")
         came = draw(open_.withColumn("u", uniform(seed, F.lit(n), "draw", "obs")))
         order = Window.partitionBy("draw", "alt").orderBy(uniform(seed, F.lit(f"lot{n}"), "draw", "obs"), "obs")
         came = came.join(room, ["draw", "alt"], "left").withColumn("_k", F.row_number().over(order)).filter("room is null or _k <= room")
-        won = _written(came.select("draw", "obs", "alt", "probability", F.lit(n).alias("round")), root, f"won-{n}")
+        won = steps.table(came.select("draw", "obs", "alt", "probability", F.lit(n).alias("round")), f"won-{n}")
         placed = won if placed is None else placed.unionByName(won)
         if won.isEmpty():
             break
         used = won.groupBy("draw", "alt").agg(F.count("*").alias("used"))
-        room = _written(room.join(used, ["draw", "alt"], "left").select("draw", "alt", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")), root, f"room-{n}")
-        people = _written(people.join(won, ["draw", "obs"], "left_anti"), root, f"people-{n}")
+        room = steps.table(room.join(used, ["draw", "alt"], "left").select("draw", "alt", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")), f"room-{n}")
+        people = steps.table(people.join(won, ["draw", "obs"], "left_anti"), f"people-{n}")
         if people.isEmpty():
             break
     if not people.isEmpty():
