@@ -13,6 +13,7 @@ from . import language_id as _language
 from . import toxicity as _toxicity
 from .license_scan import BASE, STEP, TEMPLATES, license_scan
 from .mixing import mix_sources
+from .substring_dedup import repeated_lines
 from .token_counts import token_counts
 
 
@@ -21,6 +22,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _language.language_id(docs, _language.fit(docs))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(read(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents")).drop("matches")
 
@@ -56,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.toxicity(docs, _toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_license_scan, op4_token_counts, op5_jaccard_join, op6_html_text, op7_decontamination, op8_exact_dedup, op9_entropy_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_license_scan, op4_token_counts, op5_jaccard_join, op6_html_text, op7_decontamination, op8_exact_dedup, op9_entropy_mixing, op10_toxicity)}
 
 _OP8 = f"""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
@@ -83,4 +88,11 @@ FROM w LEFT JOIN by_base USING (doc_id) LEFT JOIN by_label USING (doc_id)
 """
 
 
-ORACLE_SQL = {"op3_license_scan": _op3(), "op8_exact_dedup": _OP8}
+_OP2 = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS unit FROM documents),
+o AS (SELECT doc_id, unit, CAST(length(raw) AS BIGINT) AS length, CAST(coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, trim(regexp_replace(translate(raw, '{UPPER}', '{LOWER}'), '[\\x09-\\x0D\\x20]+', ' ', 'g'), ' ') AS norm FROM l),
+g AS (SELECT *, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start, count(*) OVER (PARTITION BY norm) AS occurrences FROM o WHERE norm <> '' AND len(string_split(norm, ' ')) >= 10 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start))
+SELECT doc_id, unit, start, length, keep_doc_id, keep_start, occurrences FROM g WHERE occurrences > 1 AND NOT (doc_id = keep_doc_id AND start = keep_start)
+"""
+
+ORACLE_SQL = {"op2_substring_dedup": _OP2, "op3_license_scan": _op3(), "op8_exact_dedup": _OP8}
