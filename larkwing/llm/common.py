@@ -51,3 +51,13 @@ class Workspace:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Parameter tables up to this many rows are sent to every executor; larger ones are joined like any other table.
+SMALL_ROWS = 10_000
+
+
+def parameter_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of driver values to join with; its size is checked before it is broadcast."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= SMALL_ROWS else df

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import parameter_table
+
 PER_LANGUAGE, BITS = 400, 13
 
 #: Language codes by family.
@@ -134,7 +136,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not counts:
         return LanguageModel([], [])
     u = F.pmod(F.xxhash64(F.lit("language"), F.col("id")), F.lit(1 << 32))
-    share = docs.sparkSession.createDataFrame([(k, int(min(1.0, 2 * per_language / n) * (1 << 32))) for k, n in counts.items()], "lang string, below long")
+    share = parameter_table(docs.sparkSession, [(k, int(min(1.0, 2 * per_language / n) * (1 << 32))) for k, n in counts.items()], "lang string, below long")
     drawn = usable.withColumn("u", u).join(share, "lang").filter("u < below")
     drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u", "id", "text"))).filter(F.col("k") <= per_language)
     rows = sorted(drawn.select("lang", "k", "text").collect(), key=lambda r: (r["lang"], r["k"]))
