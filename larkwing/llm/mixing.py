@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace
+from .common import Workspace, parameter_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS, ROUNDS = 64, 4
@@ -43,7 +43,7 @@ def water_fill(sizes: dict, weights: tuple[float, ...] = (5, 2, 1), most: float
         if not full:
             return target | {s: left * weight[s] / total for s in active}
         for s in full:
-            target[s] = most * sizes[s]
+            target[s] = float(most * sizes[s])
             active.discard(s)
         left = float(sum(sizes.values())) - sum(target.values())
     return target
@@ -85,7 +85,7 @@ class EntropyMixer:
     def _with_parameters(self) -> DataFrame:
         cols = ["no_source", "src", "source_size", "target", "mean", "lam", "fits", "below"]
         rows = [(*k, s.size, s.target, max(s.size / s.n, 1e-9), s.lam, [c[0] for c in s.cuts], [c[1] for c in s.cuts]) for k, s in self.sources.items()]
-        parameters = self.spark.createDataFrame(rows, "no_source boolean, src string, source_size long, target double, mean double, lam double, fits array<double>, below array<double>")
+        parameters = parameter_table(self.spark, rows, "no_source boolean, src string, source_size long, target double, mean double, lam double, fits array<double>, below array<double>")
         return self.docs.join(parameters.select(cols), ["no_source", "src"]).withColumn("rate", self._rate())
 
     def _rate(self) -> Column:
@@ -155,7 +155,7 @@ class EntropyMixer:
         for _ in range(5 if k == 0 else 3):
             if not span:
                 break
-            spans = self.spark.createDataFrame([(*key, *v) for key, v in span.items()], "no_source boolean, src string, a double, b double, room double")
+            spans = parameter_table(self.spark, [(*key, *v) for key, v in span.items()], "no_source boolean, src string, a double, b double, room double")
             bucket = F.least(F.floor((F.col("p") - F.col("a")) / (F.col("b") - F.col("a")) * BUCKETS), F.lit(BUCKETS - 1))
             sums = frame.join(spans, ["no_source", "src"]).filter("p >= a and p < b").groupBy("no_source", "src", "a", "b", "room", bucket.alias("k")).agg(F.sum("size").alias("s"))
             total = sums.withColumn("upto", F.sum("s").over(Window.partitionBy("no_source", "src").orderBy("k")))
