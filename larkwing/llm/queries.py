@@ -23,7 +23,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(read(spark, sf_dir, "documents"))
+    return repeated_lines(read(spark, sf_dir, "documents"), min_words=1)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

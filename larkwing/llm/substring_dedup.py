@@ -2,7 +2,8 @@
 occurrence stays and the others go, with the offsets in the original text retained.
 
 A unit is a line. It is normalised by lower-casing A-Z and turning white space into single blanks; units of fewer than
-min_words words are left alone, as short lines recur by chance. Occurrences are ranked by document id, then by place.
+min_words words are left alone. The query takes every line that is not blank (min_words=1); more is a choice of the caller.
+Occurrences are ranked by document id, then by place.
 
 Groups of a digest are merged on the map side, then by (digest, salt), then globally; the way back to the occurrences is a
 join on (digest, salt), so a line that a third of all documents hold is spread over as many tasks as there are salts, and no
