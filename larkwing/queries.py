@@ -523,10 +523,11 @@ def mnl_fit_flagship(spark, d):
     return _tidy(spark, ChoiceModel(flagship_table(spark, d), FORMULA))
 
 
-def _open_alternatives(spark, d, n: int = 2000) -> ChoiceTable:
-    """The flagship data on the alternatives that are available, which models with graphs need."""
+def _open_alternatives(spark, d) -> ChoiceTable:
+    """The flagship data on the alternatives that are available, all of them, which models with graphs need."""
     t = flagship_table(spark, d)
-    return t.restrict([r[0] for r in t.df.filter("available > 0").select("n_nationkey").distinct().orderBy("n_nationkey").limit(24).collect()])
+    open_ = [r[0] for r in t.df.filter("available > 0").select("n_nationkey").distinct().orderBy("n_nationkey").collect()]
+    return t if len(open_) == t.universe.count() else t.restrict(open_)
 
 
 def _region_nests(spark, d, t: ChoiceTable) -> dict:
