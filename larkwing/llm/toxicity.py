@@ -1,4 +1,5 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, compared window by window.
+"""Toxicity by compression distance: a trained dictionary of ordinary text and a list of contrasting toxic words, compared
+window by window. No dictionary is trained on toxic text.
 
 Training (on a bounded, documented sample of labelled rows) makes an ordinary dictionary from ordinary text and toxic parts
 from what sets toxic text apart: word beginnings and words that many toxic documents hold and ordinary ones do not, chosen
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 ORDINARY_BYTES, STRATEGY = 3600, zstandard.STRATEGY_GREEDY
 #: Bounds of the training sample: toxic and ordinary documents, and bytes read of each of them (spread over the whole text).
 TOXIC, ORDINARY = 1500, 3000
-PARTS, SHARE, CONTRAST, WORDS = 64, 0.02, 20, 300_000
+#: A toxic part is held by at least SHARE of the sampled toxic documents (3 at least); README says why not by fewer.
+SHARE, CONTRAST, WORDS = 0.02, 20, 300_000
 _BLANKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -125,7 +127,7 @@ class CompressionClassifier:
         against = Counter(g for t in ordinary for g in _beginnings(t) & wanted)
         wanted = {g for g in wanted if support[g] / len(toxic) > CONTRAST * (against[g] + 0.5) / len(ordinary) and against[g] <= 0.02 * support[g] + 1}
         parts, left = [], [gs & wanted for gs in found]
-        while len(parts) < PARTS:
+        while True:
             cover = Counter(g for gs in left for g in gs)
             if not cover:
                 break

@@ -1,0 +1,17 @@
+"""The list of toxic parts has no limit."""
+
+import numpy as np
+
+from larkwing.llm.toxicity import CompressionClassifier
+
+
+def test_every_frequent_toxic_word_is_learnt():
+    r = np.random.default_rng(5)
+    spell = lambda n: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    common, bad = [spell(7) for _ in range(300)], [spell(9) for _ in range(90)]
+    text = lambda extra: " ".join([*r.choice(common, 30), *extra])
+    toxic = [text(bad[(i + k) % 90] for k in (0, 31, 62)) for i in range(360)]
+    model = CompressionClassifier.fit(toxic, [text([]) for _ in range(720)])
+    assert len(model.parts) > 64
+    assert all(model.score(f"{common[0]} {w} {common[1]}") >= 0.3 for w in bad)
+    assert sum(model.score(text([])) >= 0.3 for _ in range(100)) <= 1
