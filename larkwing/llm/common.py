@@ -22,6 +22,22 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def row_key(id_col: str, text: Column) -> Column:
+    """What tells rows apart whose ids are null or repeat: the id, nulls last, and a digest of the text. Never null."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), sha256(F.coalesce(text, F.lit(""))).alias("digest"))
+
+
+def with_keys(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose row_key() is among keys (none, id, digest), or is not; null ids are equal to each other."""
+    keys = keys.select(F.col("none").alias("_key_none"), F.col("id").alias("_key_id"), F.col("digest").alias("_key_digest")).distinct()
+    same = F.col("_row_key.none").eqNullSafe(F.col("_key_none")) & F.col("_row_key.id").eqNullSafe(F.col("_key_id")) & (F.col("_row_key.digest") == F.col("_key_digest"))
+    return docs.withColumn("_row_key", key).join(keys, same, how).select(docs.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where it is unset, as in
     local tests, a temporary folder becomes the checkpoint folder."""

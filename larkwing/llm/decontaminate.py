@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_key, with_keys
 from .textops import pieces, separators, string_bytes, word_hashes
 
 BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
@@ -215,5 +216,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """docs without the rows that hold a benchmark window; all columns stay."""
-    bad = contamination(docs, benchmark, window, id_col, text_col, **columns).filter("contaminated").select(F.col("doc_id").alias(id_col))
-    return docs.join(bad.distinct(), id_col, "left_anti").select(docs.columns)
+    key = row_key(id_col, F.col(text_col))
+    found = contamination(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, window, "key", "text", **columns)
+    return with_keys(docs, key, found.filter("contaminated").select("doc_id.*"), "left_anti")

@@ -20,11 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, ascii_lower, shuffle_partitions
-
-
-def sha256(text: Column) -> Column:
-    return F.unhex(F.sha2(text, 256))
+from .common import Workspace, ascii_lower, row_key, sha256, shuffle_partitions, with_keys
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -62,5 +58,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup() does not keep; all columns stay."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").select(docs.columns)
+    kept = exact_dedup(docs, id_col, text_col).filter("kept")
+    kept = kept.select(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"))
+    return with_keys(docs, row_key(id_col, ascii_lower(F.col(text_col))), kept, "left_semi")
