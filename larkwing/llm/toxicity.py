@@ -31,8 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDINARY_BYTES, STRATEGY = 3600, zstandard.STRATEGY_GREEDY
-#: Bounds of the training sample: toxic and ordinary documents, and bytes read of each of them (spread over the whole text).
-TOXIC, ORDINARY = 1500, 3000
+#: Bounds of the training sample: toxic and ordinary documents, each read whole; and lines of 128 bytes for the ordinary
+#: dictionary, taken evenly from all of the ordinary sample: every k-th, so that LINES to twice as many are left.
+TOXIC, ORDINARY, LINES = 1500, 3000, 20_000
 #: A toxic part is held by at least SHARE of the sampled toxic documents (3 at least); README says why not by fewer.
 SHARE, CONTRAST, WORDS = 0.02, 20, 300_000
 _BLANKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -116,7 +117,7 @@ class CompressionClassifier:
         return 1 / (1 + math.exp(-(2.0 * min(excess, 20) + 1)))
 
     @classmethod
-    def fit(cls, toxic: list[str], ordinary: list[str]) -> CompressionClassifier:
+    def fit(cls, toxic: list[str], ordinary: list[str], n_lines: int = LINES) -> CompressionClassifier:
         toxic, ordinary = [t for t in map(normal, toxic) if t], [t for t in map(normal, ordinary) if t]
         if not toxic or not ordinary:
             return cls()
@@ -139,7 +140,7 @@ class CompressionClassifier:
         if not parts:
             return cls()
         lines = [t[i : i + 128] for t in ordinary for i in range(0, len(t), 128)]
-        lines = lines[:: max(1, len(lines) // 20_000)]
+        lines = lines[:: max(1, len(lines) // n_lines)]
         try:
             common = zstandard.train_dictionary(ORDINARY_BYTES + 512, lines).as_bytes()[-ORDINARY_BYTES:]
         except zstandard.ZstdError:  # too little text to train on: it is its own dictionary

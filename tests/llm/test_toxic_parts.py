@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from larkwing.llm import toxicity
 from larkwing.llm.toxicity import CompressionClassifier
 
 
@@ -15,3 +16,12 @@ def test_every_frequent_toxic_word_is_learnt():
     assert len(model.parts) > 64
     assert all(model.score(f"{common[0]} {w} {common[1]}") >= 0.3 for w in bad)
     assert sum(model.score(text([])) >= 0.3 for _ in range(100)) <= 1
+
+
+def test_lines_of_the_ordinary_dictionary_are_a_parameter(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, lines: seen.append(len(lines)) or toxicity.zstandard.ZstdCompressionDict(b"".join(lines)))
+    toxic, ordinary = ["plain words and zzbad"] * 40, ["plain words and more of them " * 9] * 400
+    CompressionClassifier.fit(toxic, ordinary, n_lines=100)
+    CompressionClassifier.fit(toxic, ordinary)
+    assert toxicity.LINES == 20_000 and 100 <= seen[0] < 200 and seen[1] == 400 * 3
