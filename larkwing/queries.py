@@ -561,7 +561,7 @@ def fit_scl(spark, d):
 
 @query()
 def fit_mixed(spark, d):
-    return _tidy(spark, ChoiceModel(_open_alternatives(spark, d), "same_region + acct_x_bal", random_params={"acct_x_bal": "normal"}, n_draws=20, solver_options={"maxiter": 15}))
+    return _tidy(spark, ChoiceModel(_open_alternatives(spark, d), "same_region + acct_x_bal", random_params={"acct_x_bal": "normal"}))
 
 
 @query()

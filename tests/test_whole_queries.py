@@ -5,6 +5,7 @@ import os
 import numpy as np
 import pytest
 
+from larkwing import queries
 from larkwing.queries import _open_alternatives, euclidean_matrix, flagship_table
 
 DATA = "/root/testdata"
@@ -27,3 +28,12 @@ def test_euclidean_matrix_has_every_pair(spark, tmp_path):
     got = {(x["origin_id"], x["destination_id"]): x["distance"] for x in euclidean_matrix(spark, str(tmp_path)).collect()}
     w = v.astype(float)
     assert len(got) == 900 and all(abs(got[i, j] - np.sqrt(((w[i] - w[j]) ** 2).sum())) < 1e-4 for i in range(30) for j in range(30))
+
+
+def test_mixed_fit_has_the_defaults_of_the_model(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(queries, "_open_alternatives", lambda spark, d: None)
+    monkeypatch.setattr(queries, "ChoiceModel", lambda *a, **k: seen.update(k))
+    monkeypatch.setattr(queries, "_tidy", lambda spark, model: None)
+    queries.fit_mixed(None, "")
+    assert not {"n_draws", "solver_options"} & set(seen) and seen["random_params"]
