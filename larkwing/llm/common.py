@@ -31,11 +31,31 @@ def row_key(id_col: str, text: Column) -> Column:
     return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), sha256(F.coalesce(text, F.lit(""))).alias("digest"))
 
 
-def with_keys(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
-    """The rows of docs whose row_key() is among keys (none, id, digest), or is not; null ids are equal to each other."""
-    keys = keys.select(F.col("none").alias("_key_none"), F.col("id").alias("_key_id"), F.col("digest").alias("_key_digest")).distinct()
+def _matched(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
     same = F.col("_row_key.none").eqNullSafe(F.col("_key_none")) & F.col("_row_key.id").eqNullSafe(F.col("_key_id")) & (F.col("_row_key.digest") == F.col("_key_digest"))
-    return docs.withColumn("_row_key", key).join(keys, same, how).select(docs.columns)
+    return docs.withColumn("_row_key", key).join(keys, same, how)
+
+
+def _key_counts(keys: DataFrame) -> DataFrame:
+    return keys.groupBy(F.col("none").alias("_key_none"), F.col("id").alias("_key_id"), F.col("digest").alias("_key_digest")).agg(F.count("*").alias("_key_rows"))
+
+
+def without_keys(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose row_key() is not among keys (none, id, digest); null ids are equal to each other."""
+    return _matched(docs, key, _key_counts(keys), "left_anti").select(docs.columns)
+
+
+def with_keys(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """One row of docs for each of keys (none, id, digest), which has a row for every row of docs with such a row_key(). Of
+    rows that repeat a key the one whose hash of all columns is least stays; they meet combined, a row for each map task."""
+    counts = Workspace(docs.sparkSession, "keys").table(_key_counts(keys), "keys")
+    if counts.filter("_key_rows > 1").isEmpty():
+        return _matched(docs, key, counts, "left_semi").select(docs.columns)
+    once = _matched(docs, key, counts.filter("_key_rows = 1"), "left_semi").select(docs.columns)
+    several = _matched(docs, key, counts.filter("_key_rows > 1"), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    least = several.groupBy("_row_key").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
+    return once.unionByName(least.select(docs.columns))
 
 
 def shared_dir(spark: SparkSession) -> str:

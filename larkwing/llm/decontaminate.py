@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, with_keys
+from .common import row_key, without_keys
 from .textops import pieces, separators, string_bytes, word_hashes
 
 BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
@@ -218,4 +218,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, i
     """docs without the rows that hold a benchmark window; all columns stay."""
     key = row_key(id_col, F.col(text_col))
     found = contamination(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, window, "key", "text", **columns)
-    return with_keys(docs, key, found.filter("contaminated").select("doc_id.*"), "left_anti")
+    return without_keys(docs, key, found.filter("contaminated").select("doc_id.*"))

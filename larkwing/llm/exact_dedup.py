@@ -57,7 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup() does not keep; all columns stay."""
+    """docs with one row of each group of equal texts, one that exact_dedup() keeps; all columns stay."""
     kept = exact_dedup(docs, id_col, text_col).filter("kept")
     kept = kept.select(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"))
-    return with_keys(docs, row_key(id_col, ascii_lower(F.col(text_col))), kept, "left_semi")
+    return with_keys(docs, row_key(id_col, ascii_lower(F.col(text_col))), kept)

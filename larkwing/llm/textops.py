@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes that are hashed at once; longer texts go through in pieces cut at separators.
 PIECE = 1 << 21
 
@@ -37,20 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                p = np.full(size, np.uint64(base))
-                p[0] = 1
-                _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
 def string_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and its n + 1 offsets; null is empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -90,32 +76,37 @@ def _words(raw: np.ndarray, cuts: np.ndarray, sep: np.ndarray) -> tuple[np.ndarr
     return starts, ends
 
 
+#: Longer words are hashed one by one.
+LONG_WORD = 256
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [MASK], np.uint64)
+
+
 def _hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _powers(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-        h = (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(h)
+    """64-bit hashes of words: eight bytes after eight bytes go through the finaliser, all words at once."""
+    sizes = ends - starts
+    h = mix(sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15))
+    if not len(starts):
+        return h
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    at, todo = 0, np.flatnonzero(sizes <= LONG_WORD)
+    while len(todo):
+        chunk = eight[starts[todo] + at] & _LOW[np.minimum(sizes[todo] - at, 8)]
+        h[todo] = mix((h[todo] ^ chunk) + np.uint64(0x9FB21C651E98DF25))
+        at += 8
+        todo = todo[sizes[todo] > at]
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and the number of words in each text. raw is unfolded."""
     raw = FOLD[raw]
-    n = len(offsets) - 1
-    if len(raw) <= 2 * PIECE:
-        if not len(raw):
-            return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-        starts, ends = _words(raw, offsets, sep)
-        return _hash(raw, starts, ends), np.diff(np.searchsorted(starts, offsets))
-    starts, ends = _words(raw, offsets, sep)  # one very long text: hash runs of words, a piece at a time
-    out, a = np.empty(len(starts), np.uint64), 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + PIECE, "right")))
-        lo, hi = starts[a], ends[b - 1]
-        out[a:b] = _hash(raw[lo:hi], starts[a:b] - lo, ends[a:b] - lo)
-        a = b
-    return out, np.diff(np.searchsorted(starts, offsets))
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    starts, ends = _words(raw, offsets, sep)
+    return _hash(raw, starts, ends), np.diff(np.searchsorted(starts, offsets))
 
 
 _STEPS = mix(np.arange(1, 4096, dtype=np.uint64)) | np.uint64(1)
@@ -132,3 +123,20 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
         for j in range(size):
             total += words[j : j + n] * _STEPS[j]
     return mix(total)
+
+
+def all_shingles(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of many texts at once: hashes, one text after the other, and how many each text has."""
+    n = np.where(counts > 0, np.maximum(counts - size, 0) + 1, 0)
+    ends, cuts = np.cumsum(counts), np.cumsum(n)
+    out = np.empty(int(n.sum()), np.uint64)
+    text = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(out)) + (ends - counts - (cuts - n))[text]
+    long = counts[text] >= size
+    total = np.full(int(long.sum()), np.uint64(size))
+    for j in range(size):
+        total += words[at[long] + j] * _STEPS[j]
+    out[long] = mix(total)
+    for i in np.flatnonzero((counts > 0) & (counts < size)).tolist():
+        out[cuts[i] - 1] = shingles(words[ends[i] - counts[i] : ends[i]], size)[0]
+    return out, n

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from larkwing.llm import jaccard_join, language_id, toxicity
 from larkwing.llm.decontaminate import contamination, drop_contaminated
 from larkwing.llm.html_text import DomModel, _order, default_model, html_text, labelled_pages, parse
-from larkwing.llm.jaccard_join import bands, drop_near_copies, jaccard_components, narrow_sketch, segment_keys
+from larkwing.llm.jaccard_join import STARTS, block_keys, drop_near_copies, jaccard_components, narrow_sketch
 from larkwing.llm.textops import pieces, separators, string_bytes, word_hashes
 from larkwing.llm.token_counts import _counter, batches, token_counts
 
@@ -128,12 +128,41 @@ def near_texts():
     return [*out, (2000, None), (2001, ""), (2002, " \n"), (2003, out[30][1].upper()), (2004, "one"), (2005, "ONE")]
 
 
-@pytest.mark.parametrize("family", [256, 2])
-def test_near_copies(spark, monkeypatch, family):
-    monkeypatch.setattr(jaccard_join, "FAMILY", family)
-    texts = near_texts()
+def hot_texts():
+    """A large family of near copies, and a passage that makes up a third to nine tenths of many texts."""
+    r = np.random.default_rng(5)
+    base, passage, out = [f"b{i}" for i in range(150)], [f"q{i}" for i in range(70)], []
+    for i in range(160):
+        w = list(base)
+        for _ in range(i % 7):
+            w[r.integers(len(w))] = f"y{r.integers(10**6)}"
+        out.append((3000 + i, " ".join(w)))
+    out += [(4000 + i, " ".join([f"z{r.integers(10**6)}" for _ in range(5 + i % 120)] + passage)) for i in range(160)]
+    return out
+
+
+@pytest.mark.parametrize(("family", "hot"), [(256, 64), (2, 64), (2, 3), (20, 10)])
+def test_near_copies(spark, monkeypatch, family, hot):
+    for name, value in (("FAMILY", family), ("HOT", hot), ("BLOCK", 16)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    texts = [*near_texts(), *hot_texts(), (None, "a b c d e f g"), (5000, "h a b c d e f g")]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs(spark, texts)).collect()}
-    assert got == brute_components(texts)
+    want = brute_components([(10**9 if i is None else i, t) for i, t in texts])
+    want[None] = want.pop(10**9)
+    assert got == want
+
+
+def test_clashing_halves_of_fingerprints_are_told_apart(spark, monkeypatch):
+    real = jaccard_join._fingerprints
+
+    def weak(tokens, n):
+        hi, lo = real(tokens, n)
+        return hi, lo % np.uint64(3)
+
+    rows = near_texts()[:24]
+    hi, lo = real(*(lambda x: (x[2], x[1]))(next(jaccard_join._sets(pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], names=["t"]), 0, 5))))
+    ids = jaccard_join._ids(hi, lo % np.uint64(3), np.arange(3, dtype=np.uint64))
+    assert len(set(ids.tolist())) == len(set(zip(hi.tolist(), lo.tolist(), strict=True))) and set(weak(np.arange(9, dtype=np.uint64), np.array([4, 5]))[1].tolist()) <= {0, 1, 2}
 
 
 def test_near_copies_of_nothing_and_dropping(spark):
@@ -142,20 +171,37 @@ def test_near_copies_of_nothing_and_dropping(spark):
     assert {r["doc_id"] for r in kept.collect()} == {1, 3, 4} and kept.columns == docs(spark, []).columns
 
 
-def test_similar_sets_share_a_key_and_sketches_bound_the_difference():
+def test_linked_sets_share_a_key_and_sketches_bound_the_difference():
     r = np.random.default_rng(7)
-    frequency = r.integers(0, 50, 1 << jaccard_join.TABLE_BITS)
-    for size in [1, 2, 3, 5, 8, 20, 63, 64, 70, 200, 511, 512, 900, 5000]:
-        for _ in range(20):
-            a = np.unique(r.integers(0, 2**64, size, dtype=np.uint64))
-            lost, new = sorted(r.integers(0, size // 7 + 1, 2))
-            b = np.unique(np.concatenate([a[lost:], r.integers(0, 2**64, new - lost if size > 6 else 0, dtype=np.uint64)]))
-            common, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-            difference = jaccard_join.sketch_distance(narrow_sketch(a), narrow_sketch(b))
-            assert difference <= union - common
-            if 100 * common >= 75 * union:
-                assert len(np.intersect1d(segment_keys(a, frequency), segment_keys(b, frequency)))
-    assert bands(7) == [0, 1] and bands(5) == [0] and bands(64) == [2]
+    frequency = r.integers(0, 100, 1 << jaccard_join.TABLE_BITS).astype(np.uint8)
+    token = lambda k: r.integers(0, 2**64, k, dtype=np.uint64)
+    for size in [1, 2, 3, 4, 5, 8, 13, 20, 40, 63, 70, 200, 511, 900, 5000]:
+        for hot_from in (0, 3, 20, 50, 90, 99, 200):  # all tokens hot, to none
+            for _ in range(6):
+                a = np.unique(token(size))
+                lost, new = sorted(r.integers(0, size // 7 + 1, 2))
+                b = np.unique(np.concatenate([a[lost:], token(new - lost if size > 6 else 0)]))
+                common, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+                assert jaccard_join.sketch_distance(narrow_sketch(a), narrow_sketch(b)) <= union - common
+                if 100 * common >= 75 * union:
+                    k = block_keys(np.concatenate([a, b, token(50)]), np.array([len(a), len(b), 50]), frequency, hot_from)
+                    cold = np.intersect1d(k.cold[k.cold_set == 0], k.cold[k.cold_set == 1])
+                    hot = np.intersect1d(k.hot[k.hot_set == 0], k.hot[k.hot_set == 1])
+                    spare = [(k.hot_rank[k.hot_set == i][:1] >> 32, k.hot_rank[k.hot_set == i][:1] & 0xFFFFFFFF) for i in (0, 1)]
+                    assert len(cold) or len(hot) and spare[0][0] <= spare[1][1] and spare[1][0] <= spare[0][1]
+    assert STARTS[:7].tolist() == [1, 2, 3, 5, 7, 10, 14] and (STARTS[2:] * 4 // 3 >= STARTS[2:]).all()
+    assert all((n * 4 // 3) < STARTS[np.searchsorted(STARTS, n, "right") + 1] for n in range(1, 3000))
+
+
+def test_words_hash_apart():
+    """Texts on which polynomials modulo 2^64 fail, words of every length around the steps of eight bytes, long words."""
+    morse = "a"
+    for _ in range(12):
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    words = [morse[:1024], morse[:1024].translate(str.maketrans("ab", "ba")), morse, morse.translate(str.maketrans("ab", "ba")), *("x" * n for n in range(1, 600)), *("x" * n + "y" for n in range(600))]
+    raw, offsets = string_bytes(pa.array([" ".join(words)]))
+    h, n = word_hashes(raw, offsets, separators("space"))
+    assert n[0] == len(words) == len(set(h.tolist()))
 
 
 LANGUAGES = {"en": "the quick brown fox is not here and was there with this", "de": "der schnelle braune fuchs ist nicht hier und war dort mit dieser", "fr": "le rapide renard brun est pas ici avec cette une dans", "es": "el zorro rápido no está aquí con esta una pero había"}
