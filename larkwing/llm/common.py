@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -94,6 +95,8 @@ SMALL_ROWS = 10_000
 
 
 def parameter_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table of driver values to join with; its size is checked before it is broadcast."""
-    df = spark.createDataFrame(rows, schema)
+    """A table of driver values to join with, as a literal of the plan (no Python on the executors); its size is checked
+    before it is broadcast."""
+    text = json.dumps([dict(zip((c.split()[0] for c in schema.split(", ")), row, strict=True)) for row in rows])
+    df = spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in schema.split(', '))}>>")).alias("r")).select("r.*")
     return F.broadcast(df) if len(rows) <= SMALL_ROWS else df

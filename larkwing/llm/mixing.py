@@ -5,8 +5,9 @@ at `most` times its source's words, the excess being shared again by weight unti
 
 Rates: of all document rates r >= 0 with sum(size * r) = target in each source, entropy balancing takes those closest to 1 in
 relative entropy, at most `most`: r = min(most, exp(lambda * size / mean size)). The dual is convex with one multiplier for
-each source; Newton steps on it, kept inside a bracket, each need two sums per source: one aggregation over the narrow
-(id, source, size) table, combined before the shuffle, with one row per source to the driver.
+each source; Newton steps on it, kept inside a bracket, each need two sums per source. As a rate depends on source and size
+alone, they run over the counts of distinct (source, size), written once; terms are rounded to 2^-20 words and added as
+decimals, so a sum, hence a multiplier, is the same in any order of tasks. One row per source goes to the driver a step.
 
 Rounding: every document is taken floor(r) times; which get one more is priority sampling (a hash of the id over the
 fraction), with the threshold of each source found by refining a 64-bucket histogram, so no source is ever sorted or
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 from .common import Workspace, parameter_table
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKETS, ROUNDS = 64, 4
+BUCKETS, ROUNDS, GRID = 64, 4, 1 << 20
 
 
 def water_fill(sizes: dict, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> dict:
@@ -72,9 +73,11 @@ class EntropyMixer:
         self.spark, self.most = docs.sparkSession, most
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
         narrow = docs.select(F.col(id_col).alias("doc_id"), *_key(F.col(source_col).cast("string")), size.alias("size"))
-        self.docs = Workspace(self.spark, "mixing").table(narrow, "sizes")
+        work = Workspace(self.spark, "mixing")
+        self.docs = work.table(narrow, "sizes")
         self.seed = seed
-        rows = self.docs.groupBy("no_source", "src").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()
+        self.counts = work.table(self.docs.groupBy("no_source", "src", "size").agg(F.count("*").alias("n")), "counts")
+        rows = self.counts.groupBy("no_source", "src").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("s")).collect()
         sizes = {None if r["no_source"] else r["src"]: r["s"] for r in rows}
         targets = water_fill(sizes, weights, most)
         self.sources = {(r["no_source"], r["src"]): _Source(r["n"], r["s"], targets[None if r["no_source"] else r["src"]]) for r in rows}
@@ -82,11 +85,11 @@ class EntropyMixer:
         for k in range(ROUNDS):
             self._round(k)
 
-    def _with_parameters(self) -> DataFrame:
+    def _with_parameters(self, rows_of: DataFrame | None = None) -> DataFrame:
         cols = ["no_source", "src", "source_size", "target", "mean", "lam", "fits", "below"]
         rows = [(*k, s.size, s.target, max(s.size / s.n, 1e-9), s.lam, [c[0] for c in s.cuts], [c[1] for c in s.cuts]) for k, s in self.sources.items()]
         parameters = parameter_table(self.spark, rows, "no_source boolean, src string, source_size long, target double, mean double, lam double, fits array<double>, below array<double>")
-        return self.docs.join(parameters.select(cols), ["no_source", "src"]).withColumn("rate", self._rate())
+        return (self.docs if rows_of is None else rows_of).join(parameters.select(cols), ["no_source", "src"]).withColumn("rate", self._rate())
 
     def _rate(self) -> Column:
         x = F.col("size") / F.col("mean")
@@ -104,17 +107,20 @@ class EntropyMixer:
             if all(s.done for s in self.sources.values()):
                 return
             x = F.col("size") / F.col("mean")
-            inside = F.when(F.col("rate") < self.most, F.col("size") * x * F.col("rate")).otherwise(0.0)
-            for r in self._with_parameters().groupBy("no_source", "src").agg(F.sum(F.col("size") * F.col("rate")).alias("g"), F.sum(inside).alias("h")).collect():
+            words = F.col("n") * F.col("size") * F.col("rate")
+            inside = F.when(F.col("rate") < self.most, words * x).otherwise(0.0)
+            exact = lambda c: F.sum(F.round(c * GRID).cast("decimal(38,0)"))
+            for r in self._with_parameters(self.counts).groupBy("no_source", "src").agg(exact(words).alias("g"), exact(inside).alias("h")).collect():
                 s = self.sources[(r["no_source"], r["src"])]
                 if s.done:
                     continue
-                gap = r["g"] - s.target
+                g, h = (float(r[k]) / GRID for k in "gh")
+                gap = g - s.target
                 if abs(gap) <= tolerance * s.target or s.high - s.low < 1e-12 * max(1.0, abs(s.lam)):
                     s.done = True
                     continue
                 s.low, s.high = (s.lam, s.high) if gap < 0 else (s.low, s.lam)
-                step = s.lam - gap / r["h"] if r["h"] > 0 else math.nan
+                step = s.lam - gap / h if h > 0 else math.nan
                 if not s.low < step < s.high:
                     step = (s.low + s.high) / 2 if math.isfinite(s.low + s.high) else s.lam + math.copysign(1 + abs(s.lam), -gap)
                 s.lam = step

@@ -1,6 +1,7 @@
 """Exact dedup, license scan, entropy mixing: DataFrame operators against brute force, with odd inputs."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -65,6 +66,23 @@ def test_water_fill():
     assert water_fill({}) == {} and water_fill({"a": 0}) == {"a": 0}
 
 
+def brute_rates(rows):
+    """Rates by bisection of each source's dual."""
+    sizes = defaultdict(list)
+    for i, t, s in rows:
+        sizes[s].append((i, len((t or "").split())))
+    target, out = water_fill({s: sum(n for _, n in v) for s, v in sizes.items()}), {}
+    for s, v in sizes.items():
+        total = sum(n for _, n in v)
+        rate = lambda lam, n: 1.0 if n == 0 else min(3.0, math.exp(min(50, lam * n * len(v) / total)))  # noqa: B023, E731
+        low, high = -50.0, 50.0
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(n * rate(mid, n) for _, n in v) < target[s] else (low, mid)
+        out |= {(i, n): 3.0 if n and target[s] >= 3 * total else rate(high, n) for i, n in v}
+    return out
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, "w " * (1 + (i * 7919) % 97), ("a", "b", "c", None)[i % 4] if i % 3 else "a") for i in range(1200)] + [(5000, None, "b"), (5001, "", "z"), (None, "v v", "a")]
     m = EntropyMixer(docs(spark, rows))
@@ -80,6 +98,10 @@ def test_mixing_meets_targets(spark):
         sizes[s] += len((t or "").split())
     assert target == pytest.approx(water_fill(sizes))
     assert all(abs(taken[s] - target[s]) <= 2 + 0.003 * target[s] for s in target)
-    again = EntropyMixer(docs(spark, rows).repartition(7)).mixture()
-    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+    for parts in (1, 7, 40):
+        again = EntropyMixer(docs(spark, rows).repartition(parts)).mixture()
+        assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+    brute = brute_rates(rows)
+    assert all(abs(r["rate"] - brute[r["doc_id"], r["size"]]) <= 1e-4 for r in out.collect())
+    assert all(abs(r["copies"] - r["rate"]) < 1 or r["copies"] == int(r["rate"]) + 1 for r in out.collect())
     assert mix_sources(docs(spark, [])).count() == 0
