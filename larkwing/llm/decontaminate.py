@@ -2,11 +2,13 @@
 
 Each batch of documents is a shard. Words that occur in no benchmark item can be in no match, so they end a run; the shard's
 suffix array orders, by prefix doubling, the suffixes of the runs of benchmark words that are at least as long as the
-shortest window. Every suffix of every benchmark item is binary-searched in it: the neighbours of its place give the longest
-verbatim match, and the range of suffixes that start with the item's window of words gives all places of the window. Nothing
+shortest window. Every suffix of every benchmark item that a window starts is binary-searched in it, equal ones once: the
+range of suffixes that begin with the window's words gives all its places, and places that follow each other in a document
+and in an item make up the longest verbatim matches. Nothing
 is sampled or cut, a shard needs memory in proportion to its batch, and shards meet in no shuffle.
 
-The benchmark goes to the workers in blocks of BLOCK_BYTES, one after the other, so its size bounds time, not memory.
+Benchmark items pass the driver one block of BLOCK_BYTES at a time and are broadcast as codes and offsets, never as suffixes;
+a worker loads one block at a time. Their total size bounds time and the cluster's disk for broadcasts, not memory.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. A window is `window` consecutive words of an item; an item
 with fewer words is one window. Defined cases: null or empty texts and items have no words (a document without words is clean;
@@ -28,42 +30,32 @@ from pyspark.sql import functions as F
 from .common import row_key, without_keys
 from .textops import pieces, separators, string_bytes, word_hashes
 
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
 _SEPARATORS = separators("alnum")
 
 
 class Block:
-    """Some benchmark items as word codes 1, 2, ...; 0 is any other word. `suffixes` is padded with -1."""
+    """Some benchmark items as word codes 1, 2, ..., one after the other; a suffix is a place in them."""
 
     def __init__(self, ids: list, texts: list[str | None], window: int):
         raw, offsets = string_bytes(pa.array([t or "" for t in texts], pa.large_string()))
         words, counts = word_hashes(raw, offsets, _SEPARATORS)
         self.vocabulary, codes = np.unique(words, return_inverse=True)
-        codes = codes.astype(np.int32) + 1
+        self.codes = codes.astype(np.int32) + 1
         ends = np.cumsum(counts)
         self.ids = [None if i is None else str(i) for i in ids]
         self.item = np.repeat(np.arange(len(ids)), counts)  # of each suffix
-        self.at = np.arange(len(codes)) - np.repeat(ends - counts, counts)
-        self.left = np.repeat(ends, counts) - np.arange(len(codes))  # words from the suffix to the item's end
+        left = np.repeat(ends, counts) - np.arange(len(codes))  # words from the suffix to the item's end
         size = np.repeat(np.minimum(counts, window), counts)
-        self.width = np.where(self.left >= size, size, 0)  # of the window that starts here, 0 if none does
+        self.width = np.where(left >= size, size, 0)  # of the window that starts here, 0 if none does
         self.shortest = int(self.width[self.width > 0].min()) if (self.width > 0).any() else 0
-        self.longest = int(counts.max(initial=0))
-        padded = np.concatenate([codes, np.full(self.longest + 1, -1, np.int32)])
-        take = np.arange(self.longest)[None, :] < self.left[:, None]
-        self.suffixes = np.where(take, padded[np.arange(len(codes))[:, None] + np.arange(self.longest)[None, :]], -1) if len(codes) else np.zeros((0, 0), np.int32)
-        # equal windows are searched once
-        keys = [(self.width[i], self.suffixes[i, : self.width[i]].tobytes()) for i in np.flatnonzero(self.width)]
+        # equal windows are searched once: windows has a suffix of each, same all suffixes that start with it
         first: dict = {}
-        self.window_items: list[set[int]] = []
-        self.windows = []
-        for i, key in zip(np.flatnonzero(self.width), keys, strict=True):
-            if key not in first:
-                first[key] = len(self.windows)
-                self.windows.append(i)
-                self.window_items.append(set())
-            self.window_items[first[key]].add(int(self.item[i]))
-        self.windows = np.array(self.windows, np.int64)
+        starts = np.flatnonzero(self.width)
+        of = np.array([first.setdefault(self.codes[i : i + self.width[i]].tobytes(), len(first)) for i in starts.tolist()], np.int64)
+        order = np.argsort(of, kind="stable")
+        self.same, self.cuts = starts[order], np.searchsorted(of[order], np.arange(len(first) + 1))
+        self.windows = self.same[self.cuts[:-1]]
 
 
 class SuffixArray:
@@ -77,7 +69,7 @@ class SuffixArray:
         self.starts = np.flatnonzero(run >= max(1, least))
         covered = np.flatnonzero(codes > 0)
         rank = np.zeros(n + 1, np.int64)
-        rank[covered] = codes[covered]
+        rank[covered] = np.unique(codes[covered], return_inverse=True)[1] + 1  # at most n, as the products below need
         k, longest = 1, int(run.max(initial=0))
         while k < longest:  # order by 2k words from the order by k words
             after = rank[np.minimum(covered + k, n)]
@@ -88,47 +80,56 @@ class SuffixArray:
             k *= 2
         self.order = self.starts[np.argsort(rank[self.starts], kind="stable")]
 
-    def _compare(self, at: np.ndarray, wanted: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the suffixes at those places and the wanted words, up to width: length in common, and whether the suffix is less."""
-        columns = np.arange(wanted.shape[1])
-        own = self.codes[np.minimum(at[:, None] + columns, len(self.codes) - 1)]
-        differs = (own != wanted) & (columns < width[:, None])
-        some = differs.any(axis=1)
-        first = np.where(some, differs.argmax(axis=1), width)
-        row, col = np.arange(len(at)), np.minimum(first, wanted.shape[1] - 1)
-        return first, some & (own[row, col] < wanted[row, col])
-
-    def search(self, wanted: np.ndarray, width: np.ndarray, upper: bool) -> np.ndarray:
-        """The first place in the order at which the suffix, cut to width words, is not less (upper: is more) than wanted."""
-        low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(self.order), np.int64)
-        while (open_ := low < high).any():
-            middle = (low + high) // 2
-            common, less = self._compare(self.order[np.minimum(middle, len(self.order) - 1)], wanted, width)
-            right = less | (common == width) if upper else less
-            low, high = np.where(open_ & right, middle + 1, low), np.where(open_ & ~right, middle, high)
+    def _compare(self, at: np.ndarray, block: Block, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of own suffixes and the block's, up to width words: length in common, and whether the own one is less."""
+        common, less, open_ = np.zeros(len(at), np.int64), np.zeros(len(at), bool), np.flatnonzero(width > 0)
+        k = 0
+        while len(open_):
+            own, other = self.codes[np.minimum(at[open_] + k, len(self.codes) - 1)], block.codes[start[open_] + k]
+            less[open_[own < other]] = True
+            open_ = open_[own == other]
+            k += 1
+            common[open_] = k
+            open_ = open_[width[open_] > k]
+        return common, less
+
+    def search(self, block: Block, start: np.ndarray, width: np.ndarray, upper: bool) -> np.ndarray:
+        """The first place in the order at which the suffix, cut to width words, is not less (upper: is more) than the block's."""
+        low, high = np.zeros(len(start), np.int64), np.full(len(start), len(self.order), np.int64)
+        while len(open_ := np.flatnonzero(low < high)):
+            middle = (low[open_] + high[open_]) // 2
+            common, less = self._compare(self.order[middle], block, start[open_], width[open_])
+            right = less | (common == width[open_]) if upper else less
+            low[open_], high[open_] = np.where(right, middle + 1, low[open_]), np.where(right, high[open_], middle)
         return low
 
-    def longest(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """Of every benchmark suffix: words in common with the closest training suffix, and where that starts."""
-        best, where = np.zeros(len(block.suffixes), np.int64), np.full(len(block.suffixes), -1, np.int64)
-        if len(self.order) and len(block.suffixes):
-            place = self.search(block.suffixes, block.left, False)
-            for near in (place - 1, place):
-                at = self.order[np.clip(near, 0, len(self.order) - 1)]
-                common, _ = self._compare(at, block.suffixes, block.left)
-                where, best = np.where(common > best, at, where), np.maximum(best, common)
-        return best, where
-
     def places(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """All occurrences of all windows: place, number of the window."""
-        w = block.windows
-        if not len(self.order) or not len(w):
+        if not len(self.order) or not len(block.windows):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        wanted, width = block.suffixes[w][:, : int(block.width[w].max())], block.width[w]
-        low, high = self.search(wanted, width, False), self.search(wanted, width, True)
+        width = block.width[block.windows]
+        low, high = (self.search(block, block.windows, width, upper) for upper in (False, True))
         n = high - low
-        window = np.repeat(np.arange(len(w)), n)
-        return self.order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], window
+        return self.order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(np.arange(len(n)), n)
+
+
+def longest_matches(places: np.ndarray, windows: np.ndarray, document: np.ndarray, block: Block) -> dict[int, tuple[int, int, str]]:
+    """Of each document that holds a window: words, place and item of its longest verbatim match with an item, which is a run of
+    windows that follow each other in both; of equal ones the first place and least item id."""
+    n = (block.cuts[1:] - block.cuts[:-1])[windows]
+    place = np.repeat(places, n)
+    suffix = block.same[np.repeat(block.cuts[windows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    order = np.lexsort((place, place - suffix))
+    place, suffix = place[order], suffix[order]
+    follows = (np.diff(place) == 1) & (np.diff(suffix) == 1) & (np.diff(block.item[suffix]) == 0) if len(place) else np.zeros(0, bool)
+    first = np.flatnonzero(np.concatenate([[True], ~follows])) if len(place) else place
+    runs = np.diff(np.append(first, len(place)))
+    words = block.width[suffix[first]] + runs - 1
+    found: dict[int, tuple[int, int, str]] = {}
+    for d, w, at, item in zip(document[place[first]].tolist(), words.tolist(), place[first].tolist(), (block.ids[i] for i in block.item[suffix[first]].tolist()), strict=True):
+        if d not in found or (-w, at, item or "") < (-found[d][0], found[d][1], found[d][2] or ""):
+            found[d] = (w, at, item)
+    return found
 
 
 def _codes(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -167,8 +168,8 @@ def _blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> It
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_words, longest_item, longest_at) for each row of
-    docs. The last three: the longest verbatim match that the search of any benchmark suffix found in the document (where it
-    is the best of its shard), the item it belongs to and the word of the document at which it starts; null if there is none."""
+    docs. The last three: the document's longest verbatim match with an item, of those of at least a window, and the word at
+    which it starts; null if there is none."""
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, window, item_col, item_text_col)]
     small = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -177,35 +178,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
         for part in parts:
             raw, offsets = string_bytes(part.column(1))
             for a, b in pieces(offsets, SHARD_BYTES):
-                cut = offsets[a : b + 1] - offsets[a]
-                words, counts = word_hashes(raw[offsets[a] : offsets[b]], cut, _SEPARATORS)
+                words, counts = word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _SEPARATORS)
                 first = np.cumsum(counts + 1) - counts - 1
                 hit = np.zeros(len(words) + len(counts) + 2, np.int64)
                 items: dict[int, set[str]] = {}
-                best, best_item, best_at = np.zeros(b - a, np.int64), [None] * (b - a), np.full(b - a, -1)
+                best: dict[int, tuple[int, int, str]] = {}
                 for shared in blocks:
                     block = shared.value
                     array, document = _shard(words, counts, block)
                     places, window_of = array.places(block)
-                    width = block.width[block.windows][window_of] if len(places) else places
-                    np.add.at(hit, places, 1)
-                    np.add.at(hit, places + width, -1)
-                    pairs = np.unique(document[places] * max(1, len(block.windows)) + window_of) if len(places) else places
-                    for d, w in zip((pairs // max(1, len(block.windows))).tolist(), (pairs % max(1, len(block.windows))).tolist(), strict=True):
-                        items.setdefault(d, set()).update(block.ids[i] for i in block.window_items[w] if block.ids[i] is not None)
-                    common, where = array.longest(block)
-                    for s in np.flatnonzero(common):
-                        d = int(document[where[s]])
-                        if common[s] > best[d]:
-                            best[d], best_item[d], best_at[d] = common[s], block.ids[block.item[s]], where[s] - first[d]
+                    if len(places):
+                        width = block.width[block.windows][window_of]
+                        np.add.at(hit, places, 1)
+                        np.add.at(hit, places + width, -1)
+                        pairs = np.unique(document[places] * len(block.windows) + window_of)
+                        for d, w in zip((pairs // len(block.windows)).tolist(), (pairs % len(block.windows)).tolist(), strict=True):
+                            named = (block.ids[i] for i in block.item[block.same[block.cuts[w] : block.cuts[w + 1]]].tolist())
+                            items.setdefault(d, set()).update(i for i in named if i is not None)
+                        for d, (n, at, item) in longest_matches(places, window_of, document, block).items():
+                            if d not in best or (-n, at, item or "") < (-best[d][0], best[d][1], best[d][2] or ""):
+                                best[d] = (n, at, item)
+                    if len(blocks) > 1:  # the next one is loaded from the worker's disk
+                        vars(shared).pop("_value", None)
                 covered = np.concatenate([[0], np.cumsum(np.cumsum(hit)[: len(words) + len(counts)] > 0)])
                 n_hit = covered[first + counts] - covered[first]
-                names = [items.get(d, set()) for d in range(b - a)]
-                found = best > 0
+                names, match = [items.get(d, set()) for d in range(b - a)], [best.get(d) for d in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in names], pa.int64()),
-                        pa.array([_items(x) for x in names], pa.string()), pa.array(n_hit > 0), pa.array(best, mask=~found), pa.array(best_item, pa.string()), pa.array(best_at.astype(np.int64), mask=~found),
+                        pa.array([_items(x) for x in names], pa.string()), pa.array(n_hit > 0), pa.array([m and m[0] for m in match], pa.int64()), pa.array([m and m[2] for m in match], pa.string()),
+                        pa.array([m and int(m[1] - first[d]) for d, m in enumerate(match)], pa.int64()),
                     ],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_words", "longest_item", "longest_at"],
                 )

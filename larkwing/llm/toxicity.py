@@ -1,28 +1,31 @@
-"""Toxicity by compression distance: a trained dictionary of ordinary text and a list of contrasting toxic words, compared
-window by window. No dictionary is trained on toxic text.
-
-Training (on a bounded, documented sample of labelled rows) makes an ordinary dictionary from ordinary text and toxic parts
-from what sets toxic text apart: word beginnings and words that many toxic documents hold and ordinary ones do not, chosen
-greedily until the toxic documents are covered. A toxic dictionary is the ordinary one plus toxic parts, its counterpart the
-ordinary one plus filler of the same length, so the difference of the two compressed lengths of a window is what the toxic
-parts save. Every window stands between a lead-in that the dictionaries hold, so that zstandard does not store it raw, and a
-tail, as its match finder does not look at the last bytes.
-
-A text is lower-cased and anything but letters becomes a blank; its windows are its words, each between blanks: longer
-windows hide a word's saving in the noise of the rest (README has figures). Words recur, so lengths are kept in a bounded
-table. A first pair of dictionaries with all toxic parts picks windows that save anything; these are compressed with a pair
-for each toxic part, each with its own calibrated threshold. The score is a logistic of the largest excess over a threshold.
-
-Defined cases: a null or empty text, and a text without letters, scores 0; without labelled toxic rows nothing is learnt and
-every score is 0; rows that repeat a doc_id are scored each; labels that are null or belong to no document are left out; an
-empty table gives an empty result; other columns are ignored.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, compared window by window.
+
+Training, on a bounded sample of labelled rows, splits it in halves. zstandard trains a dictionary on the toxic texts of the
+first half (windows of 32 bytes, one every 16) and one on ordinary texts. Most of the toxic dictionary is language, not
+toxicity, and its chance differences from the ordinary one hide the saving of a short insult (README has figures), so it is
+reduced by compressed lengths alone: of its parts between blanks those are candidates that cost at least GAP bytes and a third
+of their letters more given ordinary text than given the toxic texts of the second half, and at most KNOWN bytes given those.
+On the second half a candidate and a threshold on its saving find some windows; those are taken, best first, whose newly found
+windows are in more toxic texts than false positives outweigh. The toxic compressor has the ordinary dictionary and toxic parts, its counterpart the ordinary one
+and filler of the same length; the difference of two compressed lengths is what a window saves by toxic text.
+
+A text is lower-cased and anything but letters becomes a blank; its windows are its words, each between blanks, a lead-in that
+the dictionaries hold, so that zstandard does not store it raw, and a tail, as its match finder does not look at the last
+bytes. Words recur, so their results are kept in a bounded table. Parts of one threshold share a dictionary; the score is a
+logistic of the largest excess of a saving over its threshold.
+
+Defined cases: a null or empty text, and a text without letters, scores 0; without labelled toxic rows, or where nothing tells
+them from ordinary ones, every score is 0; rows that repeat a doc_id are scored each; labels that are null or belong to no
+document are left out, an id with both labels counts as toxic, and each distinct text of an id is a text; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,12 +33,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDINARY_BYTES, STRATEGY = 3600, zstandard.STRATEGY_GREEDY
-#: Bounds of the training sample: toxic and ordinary documents, each read whole; and lines of 128 bytes for the ordinary
-#: dictionary, taken evenly from all of the ordinary sample: every k-th, so that LINES to twice as many are left.
-TOXIC, ORDINARY, LINES = 1500, 3000, 20_000
-#: A toxic part is held by at least SHARE of the sampled toxic documents (3 at least); README says why not by fewer.
-SHARE, CONTRAST, WORDS = 0.02, 20, 300_000
+STRATEGY = zstandard.STRATEGY_GREEDY
+#: Bytes of the trained dictionaries; bytes more that a toxic part costs given ordinary text than given toxic text.
+ORDINARY_BYTES, TOXIC_BYTES, GAP, KNOWN = 3600, 60_000, 2, 4
+#: Bounds of the training sample: toxic and ordinary documents, each read whole; of their windows of 32 bytes (toxic) and 128
+#: bytes (ordinary) every k-th trains a dictionary, so that WINDOWS to twice as many are used.
+TOXIC, ORDINARY, WINDOWS = 1500, 5000, 100_000
+#: When thresholds are set, a false positive costs so many times what a toxic document that is found is worth; and the least one.
+COST, LEAST = 20, 3
+#: A part is taken for windows of at least this share of the second half's toxic texts, and of two; fewer are chance passages.
+SHARE = 0.01
+#: Words whose lengths a worker keeps.
+WORDS = 300_000
 _BLANKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -43,18 +52,10 @@ def normal(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_BLANKS).split())
 
 
-def _beginnings(text: bytes) -> set[bytes]:
-    """Words with their blanks, and word beginnings of 4 to 12 bytes that end between characters."""
-    out = set()
-    for w in set(text.split()):
-        w = b" " + w + b" "
-        out.update(w[:n] for n in range(5, min(len(w), 13) + 1) if n == len(w) or w[n] & 0xC0 != 0x80)
-    return out
-
-
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    log = max(14, len(content).bit_length() + 1)
     parameters = zstandard.ZstdCompressionParameters(
-        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=14, hash_log=13, chain_log=13, search_log=4, min_match=4, strategy=STRATEGY,
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=log, hash_log=min(20, log - 1), chain_log=min(20, log - 1), search_log=10, min_match=4, strategy=STRATEGY,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -66,95 +67,131 @@ def _filler(n: int) -> bytes:
     return np.random.default_rng(n).integers(0xE0, 0xF8, n).astype(np.uint8).tobytes()
 
 
-_TAIL = _filler(12)
+_TAIL = np.random.default_rng(999).integers(0xE0, 0xF8, 12).astype(np.uint8).tobytes()
 _LEAD = np.random.default_rng(0).integers(33, 64, 48).astype(np.uint8).tobytes()
 
 
+def _trained(texts: list[bytes], width: int, step: int, size: int) -> bytes:
+    """What zstandard's training picks from windows of the texts, without its header."""
+    windows = [t[i : i + width] for t in texts for i in range(0, max(1, len(t) - step), step)]
+    windows = windows[:: max(1, len(windows) // WINDOWS)]
+    try:
+        return zstandard.train_dictionary(size + 512, windows, k=24, d=6, f=20, accel=1).as_bytes()[-size:]
+    except zstandard.ZstdError:  # too little text to train on: it is its own dictionary
+        return b" ".join(windows)[-size:]
+
+
+def _cost(content: bytes) -> Callable[[bytes], int]:
+    """Bytes that a word between blanks takes where the content is known."""
+    press = _compressor(content + _LEAD).compress
+    least = len(press(_LEAD + _TAIL))
+    return lambda word: len(press(_LEAD + b" " + word + b" " + _TAIL)) - least
+
+
+def _length(dictionary: bytes) -> Callable[[bytes], int]:
+    """The compressed length of a word between blanks."""
+    press = _compressor(_LEAD + dictionary + _LEAD).compress
+    return lambda word: len(press(_LEAD + b" " + word + b" " + _TAIL))
+
+
+def _grams(word: bytes) -> set[bytes]:
+    word = b" " + word + b" "
+    return {word[i : i + 4] for i in range(len(word) - 3)}
+
+
+def _pair(ordinary: bytes, toxic: bytes) -> Callable[[bytes], int]:
+    """The bytes that the toxic dictionary saves in a word, against filler of its length."""
+    plain, own = _length(ordinary + _filler(len(toxic))), _length(ordinary + toxic)
+    return lambda word: plain(word) - own(word)
+
+
 class CompressionClassifier:
-    """Fitted state is small and pickles: dictionaries' contents and thresholds."""
+    """Fitted state is small and pickles: the ordinary dictionary and the parts of the toxic one by their threshold."""
 
-    def __init__(self, ordinary: bytes = b"", parts: list[bytes] = (), thresholds: list[int] = ()):
-        self.ordinary, self.parts, self.thresholds = ordinary, list(parts), list(thresholds)
+    def __init__(self, ordinary: bytes = b"", toxic: dict[int, list[bytes]] | None = None):
+        self.ordinary, self.toxic = ordinary, toxic or {}
         self._made, self._words = None, {}
 
     def __getstate__(self):
-        return (self.ordinary, self.parts, self.thresholds)
+        return (self.ordinary, self.toxic)
 
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def _pair(self, toxic: bytes):
-        make = lambda part: _compressor(_LEAD + self.ordinary + part + _LEAD).compress
-        return make(_filler(len(toxic))), make(toxic)
-
-    def _pairs(self):
+    def _excess(self, word: bytes) -> int:
         if self._made is None:
-            self._made = self._pair(b"".join(reversed(self.parts))), [self._pair(p) for p in self.parts]
-        return self._made
-
-    def savings(self, text: bytes) -> np.ndarray:
-        """What each toxic part saves at most in a window of a normalised text."""
-        (plain, toxic), pairs = self._pairs()
-        best, table = np.zeros(len(pairs), int), self._words
+            joined = lambda parts: b" " + b" ".join(parts) + b" "
+            whole = _pair(self.ordinary, joined([p for t in sorted(self.toxic) for p in self.toxic[t]]))
+            self._made = whole, min(self.toxic), [(t, _pair(self.ordinary, joined(parts))) for t, parts in sorted(self.toxic.items())]
+        whole, least, pairs = self._made
+        if (saved := whole(word)) < least - 1:
+            return saved - least
+        return max(pair(word) - t for t, pair in pairs)
+
+    def excess(self, text: bytes) -> int:
+        """The most by which what a toxic dictionary saves in a window of a normalised text exceeds its threshold."""
+        table, best = self._words, -40
         for word in set(text.split()):
             own = table.get(word)
             if own is None:
-                x, own = _LEAD + b" " + word + b" " + _TAIL, ()
-                if len(plain(x)) > len(toxic(x)):
-                    own = tuple(len(a(x)) - len(b(x)) for a, b in pairs)
                 if len(table) >= WORDS:
                     table.clear()
-                table[word] = own
-            if own:
-                np.maximum(best, own, out=best)
+                own = table[word] = self._excess(word)
+            if own > best:
+                best = own
         return best
 
     def score(self, text: str | None) -> float:
-        words = normal(text) if self.parts else b""
-        if not words:
-            return 0.0
-        excess = (self.savings(words) - self.thresholds).max()
-        return 1 / (1 + math.exp(-(2.0 * min(excess, 20) + 1)))
+        words = normal(text) if self.toxic else b""
+        return 1 / (1 + math.exp(-(2.0 * min(self.excess(words), 20) + 1))) if words else 0.0
 
     @classmethod
-    def fit(cls, toxic: list[str], ordinary: list[str], n_lines: int = LINES) -> CompressionClassifier:
-        toxic, ordinary = [t for t in map(normal, toxic) if t], [t for t in map(normal, ordinary) if t]
-        if not toxic or not ordinary:
+    def fit(cls, toxic: list[str], ordinary: list[str]) -> CompressionClassifier:
+        toxic, ordinary = ([b" " + t + b" " for t in dict.fromkeys(map(normal, texts)) if t] for texts in (toxic, ordinary))
+        if len(toxic) < 2 or len(ordinary) < 2:
             return cls()
-        found = [_beginnings(t) for t in toxic]
-        support = Counter(g for gs in found for g in gs)
-        least = max(3, math.ceil(SHARE * len(toxic))) if len(toxic) >= 30 else 2
-        wanted = {g for g, n in support.items() if n >= least}
-        against = Counter(g for t in ordinary for g in _beginnings(t) & wanted)
-        wanted = {g for g in wanted if support[g] / len(toxic) > CONTRAST * (against[g] + 0.5) / len(ordinary) and against[g] <= 0.02 * support[g] + 1}
-        parts, left = [], [gs & wanted for gs in found]
-        while True:
-            cover = Counter(g for gs in left for g in gs)
-            if not cover:
-                break
-            best = max(cover, key=lambda g: (cover[g] * len(g), g))
-            if cover[best] < least:
-                break
-            parts.append(best)
-            left = [{g for g in gs if g not in best and best not in g} for gs in left]
+        common = _trained(ordinary[::2], 128, 128, ORDINARY_BYTES)
+        parts = sorted({p for p in _trained(toxic[::2], 32, 16, TOXIC_BYTES).split() if len(p) >= 4})
+        by_ordinary, by_toxic = _cost(b"".join(ordinary[::2])), _cost(b"".join(toxic[1::2]))
+        parts = [p for p in parts if by_ordinary(p) - (own := by_toxic(p)) >= max(GAP, len(p) / 3) and own <= KNOWN]
         if not parts:
             return cls()
-        lines = [t[i : i + 128] for t in ordinary for i in range(0, len(t), 128)]
-        lines = lines[:: max(1, len(lines) // n_lines)]
-        try:
-            common = zstandard.train_dictionary(ORDINARY_BYTES + 512, lines).as_bytes()[-ORDINARY_BYTES:]
-        except zstandard.ZstdError:  # too little text to train on: it is its own dictionary
-            common = b"".join(lines)[-ORDINARY_BYTES:]
-        model = cls(common, parts, [0] * len(parts))
-        yes, no = (np.array([model.savings(t) for t in texts]) for texts in (toxic, ordinary))
-        kept = []
-        for i, p in enumerate(parts):
-            holds = np.array([p in b" " + t + b" " for t in toxic])
-            worth = {t: (holds & (yes[:, i] >= t)).sum() / max(1, holds.sum()) - 20 * (no[:, i] >= t).mean() for t in range(1, 40)}
-            best = max(worth, key=lambda t: (round(worth[t], 3), t))
-            if worth[best] > 0.2:
-                kept.append((p, best))
-        return cls(common, [p for p, _ in kept], [t for _, t in kept])
+        # words of the second half that the parts save anything in, and what finding them is worth
+        whole, texts = _pair(common, b" " + b" ".join(parts) + b" "), (toxic[1::2], ordinary[1::2])
+        held = Counter(w for t in texts[0] for w in set(t.split()))
+        worth = dict.fromkeys(held, 0.0) | held
+        for text in texts[1]:
+            for word in set(text.split()):
+                worth[word] = worth.get(word, 0.0) - COST * len(texts[0]) / len(texts[1])
+        words = sorted(w for w in worth if whole(w) >= LEAST)
+        value, place = np.array([worth[w] for w in words]), {w: i for i, w in enumerate(words)}
+        sharing: dict[bytes, set[bytes]] = {}  # a match has four bytes at least, so a part saves nothing in other words
+        for word in words:
+            for gram in _grams(word):
+                sharing.setdefault(gram, set()).add(word)
+        choices, rows, plain = [], [], {}
+        for part in parts:
+            own, hits = _length(common + b" " + part + b" "), {}
+            if len(part) not in plain:
+                plain[len(part)] = functools.cache(_length(common + _filler(len(part) + 2)))
+            for word in set().union(*(sharing.get(g, ()) for g in _grams(part))):
+                for t in range(LEAST, plain[len(part)](word) - own(word) + 1):
+                    hits.setdefault(t, []).append(place[word])
+            choices += [(t, part) for t in sorted(hits)]
+            rows += [np.array(hits[t]) for t in sorted(hits)]
+        # the part and threshold whose newly found words are worth most, again and again
+        found: dict[int, list[bytes]] = {}
+        while choices:
+            gain = [value[row].sum() for row in rows]
+            best = max(range(len(gain)), key=lambda i: (round(gain[i], 9), choices[i]))
+            if gain[best] < max(2, SHARE * len(texts[0])):
+                break
+            t, part = choices[best]
+            found.setdefault(t, []).append(part)
+            value[rows[best]] = 0
+            left = [i for i, (_, p) in enumerate(choices) if p != part and gain[i] > 0]
+            choices, rows = [choices[i] for i in left], [rows[i] for i in left]
+        return cls(common, found)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -165,15 +202,15 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = TOXIC, ordinary: int = ORDINARY) -> tuple[list[str], list[str]]:
     """At most that many toxic and ordinary texts of labelled rows that are not held out, drawn by a hash of the id: the
     labels are thinned to about twice the bound before anything is sorted, so the bound holds at any size."""
-    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).dropDuplicates(["id"])
+    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
     u = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("id")), F.lit(1 << 32))
     picked = None
     for y, bound in ((1, toxic), (0, ordinary)):
         part = usable.filter((F.col("y") == y) & (u < int(min(1.0, 2 * bound / max(1, counts.get(y, 0))) * (1 << 32)))).orderBy(u, "id").limit(bound)
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").dropDuplicates(["id"])
-    rows = sorted(texts.collect(), key=lambda r: r["id"])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").distinct()
+    rows = sorted(texts.collect(), key=lambda r: (r["id"], r["text"] or ""))
     return [r["text"] or "" for r in rows if r["y"] == 1], [r["text"] or "" for r in rows if r["y"] == 0]
 
 

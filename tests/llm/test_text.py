@@ -92,6 +92,21 @@ def test_contamination(spark):
     assert contamination(docs(spark, texts), nothing).filter("contaminated").count() == 0 and contamination(docs(spark, []), nothing).count() == 0
 
 
+def test_longest_matches_and_long_items(spark, monkeypatch):
+    """An item of 20,000 words, several blocks, a match of many windows."""
+    from larkwing.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 64)
+    r = np.random.default_rng(6)
+    long = [f"v{r.integers(10**6)}" for _ in range(20_000)]
+    items = [("long", " ".join(long)), ("b", "one two three four five six seven eight nine ten eleven"), ("c", "two three four five six seven eight nine ten eleven twelve")]
+    texts = [(1, "x y " + " ".join(long[500:900]) + " z"), (2, "q one two three four five six seven eight nine ten eleven twelve"), (3, "no"), (4, " ".join(long * 2))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {x["doc_id"]: tuple(x) for x in contamination(docs(spark, texts), bench).collect()}
+    assert {d: v[1:6] for d, v in got.items()} == brute_contamination(texts, items)
+    assert got[1][6:] == (400, "long", 2) and got[2][6:] == (11, "b", 1) and got[3][6:] == (None, None, None) and got[4][6:] == (20_000, "long", 0)
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts:
