@@ -91,7 +91,7 @@ FROM w LEFT JOIN by_base USING (doc_id) LEFT JOIN by_label USING (doc_id)
 _OP2 = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS unit FROM documents),
 o AS (SELECT doc_id, unit, CAST(length(raw) AS BIGINT) AS length, CAST(coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, trim(regexp_replace(translate(raw, '{UPPER}', '{LOWER}'), '[\\x09-\\x0D\\x20]+', ' ', 'g'), ' ') AS norm FROM l),
-g AS (SELECT *, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start, count(*) OVER (PARTITION BY norm) AS occurrences FROM o WHERE norm <> '' AND len(string_split(norm, ' ')) >= 10 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start))
+g AS (SELECT *, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start, count(*) OVER (PARTITION BY norm) AS occurrences FROM o WHERE norm <> '' WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start))
 SELECT doc_id, unit, start, length, keep_doc_id, keep_start, occurrences FROM g WHERE occurrences > 1 AND NOT (doc_id = keep_doc_id AND start = keep_start)
 """
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Workspace, shuffle_partitions
+from .common import LOWER, UPPER, Workspace, row_key, shuffle_partitions
 
 _FOLD = str.maketrans(UPPER, LOWER)
 _SPACE = re.compile(r"[\x09-\x0D\x20]+")
@@ -59,7 +59,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id",
     kind = small.schema["doc_id"].dataType.simpleString()
     work = Workspace(spark, "lines")
     found = work.table(small.mapInArrow(cut, f"doc_id {kind}, unit long, start long, length long, digest binary"), "units")
-    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "unit"), F.lit(salts)).cast("int"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("start"))
     salted = found.groupBy("digest", "salt").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     groups = salted.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("occurrences"), F.collect_list("salt").alias("salts")).filter("occurrences > 1")
@@ -69,9 +69,13 @@ def repeated_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id",
 
 
 def remove_repeated_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the repeated lines, all columns kept, and `removed`: array of (start, length) in the original text."""
-    spans = repeated_lines(docs, min_words, id_col, text_col).select("doc_id", F.struct("start", "length").alias("s")).distinct()
-    spans = spans.groupBy(F.col("doc_id").alias(id_col)).agg(F.sort_array(F.collect_list("s")).alias("removed"))
+    """docs without the repeated lines, all columns kept, and `removed`: array of (start, length) in the original text (a column
+    of that name is replaced). A document is an id with a text: ids that are null or repeat with other texts are told apart."""
+    key = row_key(id_col, F.col(text_col))
+    found = repeated_lines(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")), min_words)
+    spans = found.select("doc_id.*", F.struct("start", "length").alias("s")).distinct()
+    spans = spans.groupBy(*(F.col(c).alias(f"_key_{c}") for c in ("none", "id", "digest"))).agg(F.sort_array(F.collect_list("s")).alias("_removed"))
+    same = F.col("_row_key.none").eqNullSafe(F.col("_key_none")) & F.col("_row_key.id").eqNullSafe(F.col("_key_id")) & (F.col("_row_key.digest") == F.col("_key_digest"))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, removed: pd.Series) -> pd.Series:
@@ -87,4 +91,5 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = 10, id_col: str = "d
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    return docs.join(spans, id_col, "left").withColumn(text_col, without(F.col(text_col), F.col("removed"))).select(*docs.columns, "removed")
+    out = docs.withColumn("_row_key", key).join(spans, same, "left").withColumn(text_col, without(F.col(text_col), F.col("_removed")))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c != "removed"), F.col("_removed").alias("removed"))
