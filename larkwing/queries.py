@@ -262,9 +262,8 @@ def pairwise_haversine(spark, d):
     return D.pairwise_distance(p, p, "haversine", "km").select("origin_id", "destination_id", F.round("distance", 3).alias("distance"))
 
 
-@query("SELECT a.vec_id AS origin_id, b.vec_id AS destination_id, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))), 4) AS distance FROM (SELECT * FROM embeddings WHERE label = 0) a, (SELECT * FROM embeddings WHERE label = 0) b")
+@query("SELECT a.vec_id AS origin_id, b.vec_id AS destination_id, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))), 4) AS distance FROM embeddings a, embeddings b")
 def euclidean_matrix(spark, d):
-    """All of embeddings; the SQL beside it covers the rows with label 0 only."""
     e = read(spark, d, "embeddings").select("vec_id", "embedding")
     return D.distance_matrix(e, "euclidean", id_col="vec_id").select("origin_id", "destination_id", F.round("distance", 4).alias("distance"))
 
