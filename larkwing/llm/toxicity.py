@@ -11,8 +11,8 @@ and filler of the same length; the difference of two compressed lengths is what
 
 A text is lower-cased and anything but letters becomes a blank; its windows are its words, each between blanks, a lead-in that
 the dictionaries hold, so that zstandard does not store it raw, and a tail, as its match finder does not look at the last
-bytes. Words recur, so their results are kept in a bounded table. Parts of one threshold share a dictionary; the score is a
-logistic of the largest excess of a saving over its threshold.
+bytes. Words recur, so their results are kept in a bounded table. Every toxic part makes a pair of compressors, as together
+they save more than each was calibrated for; the score is a logistic of the largest excess of a saving over its threshold.
 
 Defined cases: a null or empty text, and a text without letters, scores 0; without labelled toxic rows, or where nothing tells
 them from ordinary ones, every score is 0; rows that repeat a doc_id are scored each; labels that are null or belong to no
@@ -43,8 +43,8 @@ TOXIC, ORDINARY, WINDOWS = 1500, 5000, 100_000
 COST, LEAST = 20, 3
 #: A part is taken for windows of at least this share of the second half's toxic texts, and of two; fewer are chance passages.
 SHARE = 0.01
-#: Words whose lengths a worker keeps.
-WORDS = 300_000
+#: Words whose results a worker keeps; more than any threshold.
+WORDS, LONGEST = 300_000, 100
 _BLANKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -120,17 +120,18 @@ class CompressionClassifier:
 
     def _excess(self, word: bytes) -> int:
         if self._made is None:
-            joined = lambda parts: b" " + b" ".join(parts) + b" "
-            whole = _pair(self.ordinary, joined([p for t in sorted(self.toxic) for p in self.toxic[t]]))
-            self._made = whole, min(self.toxic), [(t, _pair(self.ordinary, joined(parts))) for t, parts in sorted(self.toxic.items())]
-        whole, least, pairs = self._made
-        if (saved := whole(word)) < least - 1:
-            return saved - least
-        return max(pair(word) - t for t, pair in pairs)
+            parts = [(t, p) for t in sorted(self.toxic) for p in self.toxic[t]]
+            sharing: dict[bytes, list[int]] = {}  # a match has four bytes at least, so other parts save nothing
+            for i, (_, part) in enumerate(parts):
+                for gram in _grams(part):
+                    sharing.setdefault(gram, []).append(i)
+            self._made = [(t, _pair(self.ordinary, b" " + p + b" ")) for t, p in parts], sharing
+        pairs, sharing = self._made
+        return max((pairs[i][1](word) - pairs[i][0] for i in {i for g in _grams(word) for i in sharing.get(g, ())}), default=-LONGEST)
 
     def excess(self, text: bytes) -> int:
         """The most by which what a toxic dictionary saves in a window of a normalised text exceeds its threshold."""
-        table, best = self._words, -40
+        table, best = self._words, -LONGEST
         for word in set(text.split()):
             own = table.get(word)
             if own is None:
@@ -156,14 +157,14 @@ class CompressionClassifier:
         parts = [p for p in parts if by_ordinary(p) - (own := by_toxic(p)) >= max(GAP, len(p) / 3) and own <= KNOWN]
         if not parts:
             return cls()
-        # words of the second half that the parts save anything in, and what finding them is worth
-        whole, texts = _pair(common, b" " + b" ".join(parts) + b" "), (toxic[1::2], ordinary[1::2])
+        # words of the second half, and what finding them is worth
+        texts = toxic[1::2], ordinary[1::2]
         held = Counter(w for t in texts[0] for w in set(t.split()))
         worth = dict.fromkeys(held, 0.0) | held
         for text in texts[1]:
             for word in set(text.split()):
                 worth[word] = worth.get(word, 0.0) - COST * len(texts[0]) / len(texts[1])
-        words = sorted(w for w in worth if whole(w) >= LEAST)
+        words = sorted(worth)
         value, place = np.array([worth[w] for w in words]), {w: i for i, w in enumerate(words)}
         sharing: dict[bytes, set[bytes]] = {}  # a match has four bytes at least, so a part saves nothing in other words
         for word in words:
@@ -174,7 +175,7 @@ class CompressionClassifier:
             own, hits = _length(common + b" " + part + b" "), {}
             if len(part) not in plain:
                 plain[len(part)] = functools.cache(_length(common + _filler(len(part) + 2)))
-            for word in set().union(*(sharing.get(g, ()) for g in _grams(part))):
+            for word in sorted(set().union(*(sharing.get(g, ()) for g in _grams(part)))):
                 for t in range(LEAST, plain[len(part)](word) - own(word) + 1):
                     hits.setdefault(t, []).append(place[word])
             choices += [(t, part) for t in sorted(hits)]
