@@ -148,7 +148,7 @@ class CompressionClassifier:
 
     @classmethod
     def fit(cls, toxic: list[str], ordinary: list[str]) -> CompressionClassifier:
-        toxic, ordinary = ([b" " + t + b" " for t in dict.fromkeys(map(normal, texts)) if t] for texts in (toxic, ordinary))
+        toxic, ordinary = ([b" " + t + b" " for t in map(normal, dict.fromkeys(texts)) if t] for texts in (toxic, ordinary))
         if len(toxic) < 2 or len(ordinary) < 2:
             return cls()
         common = _trained(ordinary[::2], 128, 128, ORDINARY_BYTES)
