@@ -10,8 +10,10 @@ The labelled pages are made here by a seeded rule (`labelled_pages`): page layou
 none. They share nothing with the pages that are read but HTML itself. Pass other pages to `DomModel.train` to use those.
 
 Text is decoded (character references), white space inside a block becomes one blank, blocks are trimmed and joined by one
-line break in page order; a line break element counts as white space. Scripts, styles, comments and other elements that
-are not text never become nodes. Defined cases: null or empty html gives an empty text; unclosed, stray and cut-off tags are
+line break in page order; a line break element counts as white space. Tags are read by the states of the HTML standard: unquoted
+values may hold apostrophes, a slash does not close a script, elements that are not text (scripts, styles, vector
+graphics, choices of forms, fallbacks of media) end at their own end tag, however they nest. Formulas and other inline elements are
+text; text of a button counts as that of a link. Defined cases: null or empty html gives an empty text; unclosed, stray and cut-off tags are
 tolerated; a page without content gives an empty text; repeated rows each get their row; other columns are ignored.
 """
 
@@ -29,7 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds of elements of HTML.
-SKIP = set("script style noscript template iframe svg math select option button textarea object canvas video audio head title map datalist".split())
+RAW = set("script style noscript iframe textarea title noembed noframes".split())
+FLAT = set("select option datalist annotation".split())
+SKIP = RAW | FLAT | set("template svg canvas video audio annotation-xml".split())
 VOID = set("br hr img input meta link area base col embed source track wbr param".split())
 BLOCK = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption nav aside header footer form fieldset address details summary dialog hgroup search center".split())
 CLOSES_P = BLOCK - {"html", "body"}
@@ -44,8 +48,13 @@ BAD = set("ad ads advert adverts advertisement adsense sponsor sponsored promo p
 GOOD = set("content article post entry story text body main maincontent prose body-text articlebody entry-content post-content".split())
 NOTICE = re.compile(r"©|copyright|all rights reserved|cookies?\b|privacy policy|subscribe|sign up|log in|click here|advertisement|sponsored", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_VALUE = r"""\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>"'][^\s>]*+))?+"""
+_ATTRIBUTE = re.compile(rf"(=?+[^\s/>=]++|=)(?:{_VALUE})?+")
+_TOKEN = re.compile(
+    rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(?:[!?]|/[^a-zA-Z>])[^>]*(?:>|\Z)|</>
+    |<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|(?:=?+[^\s/>=]++|=)(?:{_VALUE.replace("(", "(?:").replace("(?:?:", "(?:")})?+)*+)(?:>|\Z)""",
+    re.S | re.X,
+)
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -75,10 +84,41 @@ def _implied(node: Node, tag: str) -> Node:
     return node
 
 
+def _after(page: str, at: int, tag: str) -> int:
+    """Where the page goes on after an element that is not text, whose start tag ends at `at`: behind its own end tag, or
+    before the end tag of a block that it stands in, or before a block that it cannot hold."""
+    if tag in RAW:
+        end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+        return len(page) if end is None else end.end()
+    depth, foreign, inside = 1, 0, []
+    while m := _TOKEN.search(page, at):
+        inner = (m[3] or "").lower()
+        if inner == tag:
+            depth += -1 if m[2] or tag in FLAT else not m[4].endswith("/")
+            if depth == 0:
+                return m.end()
+        elif inner in BLOCK and tag != "template":
+            if not m[2] and not foreign and (tag == "svg" or tag in FLAT):
+                return m.start()
+            elif not m[2]:
+                inside.append(inner)
+            elif inner not in inside:
+                return m.start()
+            else:
+                while inside.pop() != inner:
+                    pass
+        elif inner == "foreignobject":
+            foreign += -1 if m[2] else 1
+        at = m.end()
+        if inner in RAW and not m[2]:
+            at = _after(page, at, inner)
+    return len(page)
+
+
 def parse(page: str) -> Node:
     """A tree of block elements; runs of inline text are leaves with tag #text and parts (text, inside a link)."""
     root = Node("html", None)
-    node, run, link, at, n = root, None, 0, 0, len(page)
+    node, run, link, button, at, n = root, None, 0, 0, 0, len(page)
 
     def add(piece: str) -> None:
         nonlocal run
@@ -86,7 +126,7 @@ def parse(page: str) -> Node:
             if not piece.strip():
                 return
             run = Node("#text", node)
-        run.parts.append((piece, link > 0))
+        run.parts.append((piece, link + button > 0))
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -103,17 +143,18 @@ def parse(page: str) -> Node:
             continue
         tag, closing = tag.lower(), bool(m[2])
         if tag in SKIP:
-            if not closing and not m[4].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>" if tag != "head" else r"</head\s*>|<body", re.I).search(page, at)
-                at = n if end is None else end.start() if end[0].lower() == "<body" else end.end()
+            if not closing and (tag in RAW or not m[4].endswith("/")):
+                at = _after(page, at, tag)
             continue
         if tag == "br" or tag == "hr":
             add(" ")
         elif tag == "a":
             link = 0 if closing else 1
+        elif tag == "button":
+            button = 0 if closing else 1
         if tag not in BLOCK:
             continue
-        run, link = None, 0
+        run, link, button = None, 0, 0
         if closing:
             open_ = node
             while open_ is not None and open_.tag != tag:
@@ -121,7 +162,10 @@ def parse(page: str) -> Node:
             if open_ is not None and open_.parent is not None:
                 node = open_.parent
             continue
-        found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[4])} if "=" in m[4] else {}
+        found: dict[str, str] = {}
+        if "=" in m[4]:
+            for name, a, b, c in _ATTRIBUTE.findall(m[4]):
+                found.setdefault(name.lower(), a or b or c)
         words = tuple(_NAME.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
         if tag == "html":
             continue
@@ -136,7 +180,7 @@ def _features(node: Node) -> list[tuple[str, object]]:
     out: list[tuple[str, object]] = [("names", 2 * bad + good)] if node.tag != "#text" else []
     if node.tag == "#text":
         raw = [(_html.unescape(p), linked) for p, linked in node.parts]
-        node.text = " ".join("".join(_html.unescape("".join(p for p, _ in node.parts))).split())
+        node.text = " ".join("".join(p for p, _ in raw).split())
         total = sum(len(p) for p, _ in raw) or 1
         linked = sum(len(p) for p, inside in raw if inside) / total
         n = len(node.text)

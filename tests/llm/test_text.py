@@ -261,6 +261,26 @@ def test_pages(spark):
     assert html_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(("page", "runs"), [
+    ("<p data-x=it's>one</p><p>two</p><p>three's</p>", ["one", "two", "three's"]),
+    ("<script src='a.js'/>var x = 1;</script><p>t", ["t"]), ("<p>x</p><script>cut off", ["x"]), ("<SCRIPT>a</scripty></script ><p>x", ["x"]),
+    ("<p>a <math><mi>x</mi><annotation>tex</annotation></math> b", ["a x b"]), ("<p>a<object>b</object> <map><a>c</a></map> <button>d</button>", ["ab c d"]),
+    ("<svg><svg><text>q</text></svg><text>z</text></svg><p>t", ["t"]), ("<svg><foreignObject><p>q</p></foreignObject></svg>t", ["t"]), ("<svg><g><p>t", ["t"]), ("<svg/>t", ["t"]),
+    ("<select><option>a<select><option>b</select><p>t", ["t"]), ("<div><video><p>q</p></div>t", ["t"]), ("<template><div>a<template>b</template>c</div>d</template>t", ["t"]),
+    ("<head><title>q</title><p>t", ["t"]), ("<p>k<!-->l<!-- a --!>m</ x>n</>o", ["klmno"]), ('<p class="a>" = b=">" c>t', ["t"]), ("a < b <i>c", ["a < b c"]), ("&am<b>p;</b>", ["&amp;"]),
+])
+def test_tokens_of_html(page, runs):
+    found = [n for n in default_model().marginals(parse(page)) if n.tag == "#text"]
+    assert [n.text for n in found] == runs
+
+
+def test_very_long_pages():
+    model = default_model()
+    for page in ["<p a='" + "x " * 200_000, "<p " * 100_000, "<p" + " a=" * 200_000, "<svg>" * 20_000, "<!--" * 50_000, "<div>" * 20_000 + "t", "<p>" + "word " * 200_000 + "."]:
+        model.text(page)
+    assert model.text("<article>" + "<p>Some words stand here, and more of them follow.</p>" * 20_000 + "</article>").count("\n") == 19_999
+
+
 def test_marginals_on_held_out_layouts():
     right = wrong = 0
     for p in labelled_pages(120, seed=77):
