@@ -1,11 +1,11 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Batches are balanced by bytes, not rows. Long texts are cut at safe boundaries, at which the count is additive: the byte-level
-pre-tokeniser never puts a character that is not white space and a blank or line break after it into one token, and neither
-does an added token whose content has no white space. Cut there, a text is a list of short pieces ("word with the blanks
-before it"), most of which recur: a bounded table of counts per worker spares their encoding, and new pieces are encoded in
-batches. Texts with other white space (tabs, no-break spaces), whose runs may span such a cut, and tokenizers for which the
-rule is not known, are encoded whole.
+pre-tokeniser ends every token before white space that follows something else, and before a full-width stop or comma that follows a
+Chinese or Japanese letter; added tokens hold neither. Only ASCII white space is cut before, and only behind characters that
+no Unicode version counts as white space, so tabs, no-break spaces and separators in a text do no harm. What lies between
+two cuts ("word with the blanks before it") mostly recurs: a table of counts per worker, bounded in entries and characters,
+spares its encoding, and new pieces are encoded in batches. Tokenizers for which the rule is not known encode texts whole.
 
 Defined cases: null counts as empty (0 tokens); repeated rows each get their row; an empty table gives an empty result;
 other columns are ignored.
@@ -21,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a batch, entries of a worker's table of piece counts, pieces encoded at once.
-BATCH_BYTES, TABLE, AT_ONCE = 1 << 20, 500_000, 8192
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\xa0]")
+#: Bytes of text in a batch, entries and characters of a worker's table of piece counts, pieces encoded at once.
+BATCH_BYTES, TABLE, TABLE_CHARS, AT_ONCE = 1 << 20, 500_000, 1 << 25, 8192
+_PIECE = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+#: Letters and marks of Chinese and Japanese between which a cut is safe.
+_LETTERS, _MARKS = r"\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5", "。，、！？；："
+_HARD = re.compile(rf"[^\S\t-\r ]|[\u180e{_MARKS}]")
+_CUT = re.compile(rf"(?<=[^\s\u180e])(?=[\t-\r ])|(?<=[{_LETTERS}])(?=[{_MARKS}])")
 _LOADED: dict[str, _Counter] = {}
 
 
@@ -32,14 +35,14 @@ class _Counter:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.chars = Tokenizer.from_file(path), {}, 0
         config = json.loads(self.tokenizer.to_str())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         before = config.get("pre_tokenizer") or {}
         self.additive = (
             before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not config.get("normalizer")
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in config.get("added_tokens", []))
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(rf"\s|[{_MARKS}]", t["content"]) for t in config.get("added_tokens", []))
         )
         self.closing = {c: n for c in ".," if (n := self.encode([c])[0]) == 1} if self.additive else {}
 
@@ -48,9 +51,7 @@ class _Counter:
 
     def learn(self, new: set[str]) -> None:
         """A full stop or comma after an ASCII letter is a token of its own, so the word's count serves."""
-        known = self.known
-        if len(known) + len(new) > TABLE:
-            known.clear()
+        known, self.chars = self.known, self.chars + sum(map(len, new))
         closing = {p: p[:-1] for p in new if len(p) > 2 and p[-1] in self.closing and p[-2].isascii() and p[-2].isalpha()}
         rest = [p for p in {closing.get(p, p) for p in new} if p not in known]
         for i in range(0, len(rest), AT_ONCE):
@@ -60,20 +61,19 @@ class _Counter:
     def count(self, texts: list[str]) -> list[int]:
         if not self.additive:
             return self.encode(texts)
-        out = []
+        out, known = [], self.known
         for text in texts:
-            if not text:
-                out.append(0)
-            elif _OTHER_SPACE.search(text):
-                out.append(self.encode([text])[0])
-            else:
-                pieces = _PIECE.findall(text)
-                try:
-                    out.append(sum(map(self.known.__getitem__, pieces)))
-                except KeyError:
-                    own = set(pieces)
-                    self.learn({p for p in own if p not in self.known} if len(self.known) + len(own) <= TABLE else own)
-                    out.append(sum(map(self.known.__getitem__, pieces)))
+            pieces = _CUT.split(text) if _HARD.search(text) else _PIECE.findall(text)
+            try:
+                out.append(sum(map(known.__getitem__, pieces)))
+            except KeyError:
+                own = set(pieces)
+                new = {p for p in own if p not in known}
+                if len(known) + len(new) > TABLE or self.chars + sum(map(len, new)) > TABLE_CHARS:
+                    known.clear()
+                    self.chars, new = 0, own
+                self.learn(new)
+                out.append(sum(map(known.__getitem__, pieces)))
         return out
 
 

@@ -46,13 +46,26 @@ def test_pieces_count_as_the_whole(text):
     assert counter.count([text, text]) == [len(counter.tokenizer.encode(text, add_special_tokens=False).ids)] * 2
 
 
-@given(st.text(alphabet="aB é.,'1 \n\t(|<>", max_size=60))
-@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aB é.,'1 \n\t(|<>", max_size=60) | st.text(alphabet="a.1 \n\t\r\x0b\x1c\x85\xa0\u180e\u200b\u2003\u2028\u3000世の。，、", max_size=40) | st.text(max_size=40))
+@settings(max_examples=600, deadline=None)
 def test_pieces_count_as_the_whole_for_any_text(text):
     counter = _counter(str(TOKENIZER))
     assert counter.count([text]) == [len(counter.tokenizer.encode(text, add_special_tokens=False).ids)]
 
 
+def test_long_texts_are_cut_and_the_table_is_bounded(monkeypatch):
+    from larkwing.llm import token_counts as module
+
+    counter, seen = module._Counter(str(TOKENIZER)), []
+    monkeypatch.setattr(module, "TABLE_CHARS", 2000)
+    encode = counter.encode
+    monkeypatch.setattr(counter, "encode", lambda texts: (seen.extend(texts), encode(texts))[1])
+    for text in ["\tint x\t= y;\r\n" * 4000, "a\xa0b c\u2003d " * 4000, "世界の道、" * 4000, *(f"\tword{i} " * 30 + "x" * i for i in range(60))]:
+        assert counter.count([text]) == [len(counter.tokenizer.encode(text, add_special_tokens=False).ids)]
+        assert counter.chars <= 4000 and len(counter.known) <= 4000
+    assert max(map(len, seen)) < 100
+
+
 def test_token_counts(spark):
     rows = {r["doc_id"]: r for r in token_counts(docs(spark, [(i, t) for i, t in enumerate([*HARD, None])]), str(TOKENIZER), limit=5).collect()}
     assert len(rows) == len(HARD) + 1 and rows[len(HARD)]["n_tokens"] == 0 and rows[1]["n_bytes"] == 11 and not rows[1]["over_limit"] and rows[13]["over_limit"]
