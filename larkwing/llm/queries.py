@@ -11,7 +11,7 @@ from .html_text import html_text
 from .jaccard_join import jaccard_components
 from . import language_id as _language
 from . import toxicity as _toxicity
-from .license_scan import BASE, STEP, TEMPLATES, license_scan
+from .license_scan import BASE, TEMPLATES, license_scan, step_of
 from .mixing import mix_sources
 from .substring_dedup import repeated_lines
 from .token_counts import token_counts
@@ -72,15 +72,15 @@ WINDOW same AS (PARTITION BY norm)
 
 def _op3() -> str:
     base = ", ".join(f"('{label}', {[*phrase.split()]})" for phrase, label in BASE.items())
-    own = ", ".join(f"('{label}', {sorted(set(text.split()))})" for label, text in TEMPLATES)
+    own = ", ".join(f"('{label}', {sorted(set(text.split()))}, {step_of(len(text.split()))})" for label, text in TEMPLATES)
     return rf"""
 WITH w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 base(label, phrase) AS (VALUES {base}),
-own(label, tokens) AS (VALUES {own}),
+own(label, tokens, step) AS (VALUES {own}),
 places AS (SELECT doc_id, label, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1:i + len(phrase)] = phrase)) AS pos FROM w, base),
 by_base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
-blocks AS MATERIALIZED (SELECT doc_id, ws[b + 1:b + {2 * STEP}] AS block FROM (SELECT doc_id, ws, unnest(range(0, len(ws), {STEP})) AS b FROM w)),
-matched AS (SELECT doc_id, label, len(list_intersect(tokens, block)) / len(tokens) AS containment FROM blocks, own WHERE len(list_intersect(tokens, block)) >= ceil(0.85 * len(tokens) - 1e-9)),
+blocks AS MATERIALIZED (SELECT doc_id, step, ws[b + 1:b + 2 * step] AS block FROM (SELECT doc_id, ws, step, unnest(range(0, len(ws), step)) AS b FROM w, (SELECT DISTINCT step FROM own))),
+matched AS (SELECT doc_id, label, len(list_intersect(tokens, block)) / len(tokens) AS containment FROM blocks JOIN own USING (step) WHERE len(list_intersect(tokens, block)) >= ceil(0.85 * len(tokens) - 1e-9)),
 found AS (SELECT doc_id, label, containment FROM matched UNION ALL SELECT doc_id, label, 1.0 FROM places),
 by_label AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(containment) AS score FROM found GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score

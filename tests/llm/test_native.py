@@ -42,12 +42,16 @@ def test_exact_dedup_of_one_large_group_and_of_nothing(spark):
     assert kept.columns == docs(spark, []).columns and {x["doc_id"] for x in kept.collect()} == {3, 5}
 
 
-def brute_license(text):
+def brute_license(text, templates=TEMPLATES):
     ws = [w for w in re.split(WORD_BREAK, (text or "").translate(FOLD)) if w]
     places = [(i, label) for i in range(len(ws)) for phrase, label in BASE.items() if ws[i : i + len(phrase.split())] == phrase.split()]
     labels = {label for _, label in places}
-    for b in range(0, len(ws), 32):
-        labels |= {label for label, t in TEMPLATES if len(set(t.split()) & set(ws[b : b + 64])) >= 0.85 * len(set(t.split())) - 1e-9}
+    for label, t in templates:
+        step = 32
+        while len(t.split()) > step + 1:
+            step *= 2
+        if any(len(set(t.split()) & set(ws[b : b + 2 * step])) >= 0.85 * len(set(t.split())) - 1e-9 for b in range(0, len(ws), step)):
+            labels.add(label)
     return len(ws), len(places), min((p for p, _ in places), default=None), max((p for p, _ in places), default=None), ",".join(sorted({label for _, label in places})), ",".join(sorted(labels))
 
 
@@ -59,6 +63,16 @@ def test_license_scan(spark):
     assert got[10][1] == 500 and license_scan(docs(spark, [])).count() == 0
 
 
+def test_whole_license_texts(spark):
+    long = [("long", " ".join(f"w{i}" for i in range(700))), ("mid", " ".join(f"m{i}" for i in range(34)))]
+    mit = max((t for label, t in TEMPLATES if label == "mit"), key=len)
+    changed = " ".join("other" if i % 9 == 4 else w for i, w in enumerate(long[0][1].split()))
+    texts = [f"{k * 'x '}{t}{k * ' y'}" for k in (0, 31, 700, 5000) for t in (mit, long[0][1], long[1][1], changed, long[0][1][:1500])]
+    got = {r["doc_id"]: tuple(r)[1:7] for r in license_scan(docs(spark, list(enumerate(texts))), templates=TEMPLATES + long).collect()}
+    assert got == {i: brute_license(t, TEMPLATES + long) for i, t in enumerate(texts)}
+    assert [got[i][5] for i in range(5)] == ["mit", "long", "mid", "long", ""]
+
+
 def test_water_fill():
     assert water_fill({"b": 10, "a": 10, None: 10}) == pytest.approx({"a": 18.75, "b": 7.5, None: 3.75})
     t = water_fill({"a": 1, "b": 100, "c": 100})
