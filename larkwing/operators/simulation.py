@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.uniform import uniform
+from .sampling import maybe_broadcast
 from .shared import Steps
 
+#: Parts of a lottery: those who come to an alternative are ranked only within the part in which its room ends.
+LOTS = 1024
+
 
 def draw(probabilities: DataFrame, u: str = "u", keys: tuple[str, ...] = ("draw", "obs")) -> DataFrame:
     """(keys, alt, probability): the first alternative in the order of ids whose running share exceeds u."""
@@ -27,11 +32,26 @@ def simulate(probabilities: DataFrame, n_draws: int = 1, seed: int = 0) -> DataF
     return draw(rows.withColumn("u", uniform(seed, "draw", "obs")))
 
 
-def capacity_lottery(probabilities: DataFrame, capacity: dict | DataFrame, n_draws: int = 1, seed: int = 0, max_rounds: int = 100) -> DataFrame:
+def _placed(came: DataFrame) -> DataFrame:
+    """Of came (draw, alt, obs, room, lot) the rows with the least lots, as many as there is room, all where room is null. An
+    alternative to which all come is no hot key: counts of parts of the lots say which part is ranked."""
+    parts = came.withColumn("_part", F.floor(F.col("lot") * LOTS))
+    counts = parts.filter("room is not null").groupBy("draw", "alt", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("draw", "alt").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rank = F.row_number().over(Window.partitionBy("draw", "alt", "_part").orderBy("lot", "obs"))
+    return parts.join(counts, ["draw", "alt", "_part"], "left").withColumn("_k", rank).filter("room is null or _before + _k <= room")
+
+
+def capacity_lottery(probabilities: DataFrame, capacity: dict | DataFrame, n_draws: int = 1, seed: int = 0, max_rounds: int = 100, among_open: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """(draw, obs, alt, probability, round). In each round those not yet placed draw among alternatives with room; where more
     come than there is room, a random part of them is placed. Alternatives without capacity take all. Who finds no open
     alternative, or is not placed after max_rounds, has null alt and round 0, with a warning. Rounds are cut by tables in the
-    shared checkpoint folder."""
+    shared checkpoint folder.
+
+    Without among_open, probabilities of open alternatives keep their proportions, which is right for multinomial logit.
+    Other models give among_open(people (draw, obs), closed (draw, closed)): (draw, obs, alt, probability) with the
+    probabilities recomputed where the alternatives of a draw in the array `closed` are not available."""
     spark = probabilities.sparkSession
     kind = dict(probabilities.dtypes)["alt"]
     if isinstance(capacity, dict):
@@ -46,11 +66,17 @@ def capacity_lottery(probabilities: DataFrame, capacity: dict | DataFrame, n_dra
     base = steps.table(probabilities.filter("probability > 0"), "probabilities")
     people = steps.table(probabilities.select("obs").distinct().crossJoin(F.broadcast(draws)), "people-0")
     room, placed, n = steps.table(room, "room-0"), None, 0
+    rooms = room.count()
     for n in range(1, max_rounds + 1):
-        open_ = people.join(base, "obs").join(room, ["draw", "alt"], "left").filter("room is null or room > 0").drop("room")
+        if among_open and n > 1:
+            closed = room.filter("room <= 0").groupBy("draw").agg(F.collect_list("alt").alias("closed"))
+            now = among_open(people, maybe_broadcast(closed, rooms)).filter("probability > 0")
+        else:
+            now = people.join(base, "obs")
+        open_ = now.join(room, ["draw", "alt"], "left").filter("room is null or room > 0").drop("room")
         came = draw(open_.withColumn("u", uniform(seed, F.lit(n), "draw", "obs")))
-        order = Window.partitionBy("draw", "alt").orderBy(uniform(seed, F.lit(f"lot{n}"), "draw", "obs"), "obs")
-        came = came.join(room, ["draw", "alt"], "left").withColumn("_k", F.row_number().over(order)).filter("room is null or _k <= room")
+        came = came.join(room, ["draw", "alt"], "left").withColumn("lot", uniform(seed, F.lit(f"lot{n}"), "draw", "obs"))
+        came = _placed(steps.table(came, f"came-{n}"))
         won = steps.table(came.select("draw", "obs", "alt", "probability", F.lit(n).alias("round")), f"won-{n}")
         placed = won if placed is None else placed.unionByName(won)
         if won.isEmpty():

@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.stats import IDENTITY, SIGMOID, SOFTPLUS, TANH, safe_inverse
 from ..operators import effects as E
@@ -287,9 +288,13 @@ class ChoiceModel:
 
     def probabilities(self, data=None, beta=None, available: str | None = None) -> DataFrame:
         """(obs, alt, probability): beta is a full vector on the display scale; available, one more availability column."""
-        structure, theta = self.structure, self._display_vector(beta)
+        theta = self._display_vector(beta)
         arrays = self._arrays if data is None and available is None else pack(data or self.data, self.formula, self.spec, None, available, self.panel)
-        frame, k = (self._objective.data if arrays is self._arrays else arrays.df), arrays.n_params
+        return self._evaluated(self._objective.data if arrays is self._arrays else arrays.df, arrays, theta)
+
+    def _evaluated(self, frame: DataFrame, arrays, theta: np.ndarray) -> DataFrame:
+        """(obs, alt, probability) of packed observations; obs may be a struct that holds more than the id."""
+        structure, k, obs = self.structure, arrays.n_params, frame.schema["obs"].dataType
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in blocks(parts, k, False):
@@ -298,9 +303,8 @@ class ChoiceModel:
                 rows = [r[:n] for r, n in zip(p, b.size, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(b.obs), kinds[0]), pa.array(b.alt, pa.list_(kinds[1])), pa.array(rows, pa.list_(pa.float64()))], names=["obs", "alts", "ps"])
 
-        types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16()}
-        kinds = types[arrays.obs_type], types[arrays.alt_type]
-        out = frame.mapInArrow(run, f"obs {arrays.obs_type}, alts array<{arrays.alt_type}>, ps array<double>")
+        kinds = to_arrow_type(obs), to_arrow_type(frame.schema["alt"].dataType.elementType)
+        out = frame.mapInArrow(run, f"obs {obs.simpleString()}, alts array<{arrays.alt_type}>, ps array<double>")
         return out.select("obs", F.explode(F.arrays_zip("alts", "ps")).alias("z"), ).select("obs", F.col("z.alts").alias("alt"), F.col("z.ps").alias("probability"))
 
     def predict(self, data=None) -> DataFrame:
@@ -319,9 +323,23 @@ class ChoiceModel:
         return table.df.select(F.col(table.obs_id).alias("obs"), F.col(table.alt_id).alias("alt"), v.alias("utility"))
 
     def simulate(self, data=None, n_draws: int = 1, seed: int = 0, capacity: dict | DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
-        """(draw, obs, alt, probability[, round]): independent choices, or with capacity a lottery in rounds."""
-        p = self.probabilities(data)
-        return M.simulate(p, n_draws, seed) if capacity is None else M.capacity_lottery(p, capacity, n_draws, seed, max_rounds)
+        """(draw, obs, alt, probability[, round]): independent choices, or with capacity a lottery in rounds, whose
+        probabilities are the model's among the alternatives that are still open."""
+        p, s = self.probabilities(data), self.structure
+        if capacity is None:
+            return M.simulate(p, n_draws, seed)
+        if not (s.nests or s.random or s.graph is not None):  # shares among open alternatives keep their proportions
+            return M.capacity_lottery(p, capacity, n_draws, seed, max_rounds)
+        arrays = self._arrays if data is None else pack(data, self.formula, self.spec, None, None, self.panel)
+        theta = self._display_vector(None)
+
+        def among_open(people: DataFrame, closed: DataFrame) -> DataFrame:
+            open_ = F.zip_with("av", "alt", lambda v, a: v & ~F.coalesce(F.array_contains("closed", a), F.lit(False)))
+            rows = people.join(arrays.df, "obs").join(closed, "draw", "left").withColumn("av", open_)
+            out = self._evaluated(rows.withColumn("obs", F.struct("draw", "obs")).drop("draw", "closed"), arrays, theta)
+            return out.select("obs.draw", F.col("obs.obs").alias("obs"), "alt", "probability")
+
+        return M.capacity_lottery(p, capacity, n_draws, seed, max_rounds, among_open)
 
     # ---- effects
     def _effect_frame(self, variable: str, data=None) -> tuple[DataFrame, float]:

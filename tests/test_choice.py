@@ -1,5 +1,8 @@
 """Assembly, estimation, inference, simulation and spatial operators on small synthetic data."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -167,6 +170,26 @@ def test_simulation_and_capacity(fitted):
         fitted.simulate(capacity={0: -1})
 
 
+def test_capacity_of_a_nested_model_recomputes_probabilities(spark):
+    d = dgp.simulate_nested_logit(spark, 400, 5, {"cost": -0.3}, interaction_params={"income_x_cost": 0.4})
+    m = ChoiceModel(d.choice_table, d.formula, nests={"a": [0, 1, 2], "b": [3, 4]})
+    m.fit()
+    out = m.simulate(seed=5, capacity={0: 20, 3: 30}, n_draws=2).collect()
+    taken = Counter((r["draw"], r["alt"]) for r in out)
+    assert len(out) == 800 and all(r["alt"] is not None for r in out) and all(taken[k, 0] == 20 and taken[k, 3] == 30 for k in (0, 1))
+    lam, beta = {n: m.result.coefficients[f"lambda_{n}"] for n in "ab"}, m.result.coefficients
+    v = {(r["obs"], r["alt"]): r["utility"] for r in m.utilities(beta=beta.values).collect()}
+    nest = {0: "a", 1: "a", 2: "a", 3: "b", 4: "b"}
+    room = {0: 20, 3: 30}
+    assert max(r["round"] for r in out) > 1
+    for r in (r for r in out if r["round"] > 1):
+        gone = {a for a, n in room.items() if sum(x["alt"] == a and x["draw"] == r["draw"] and x["round"] < r["round"] for x in out) == n}
+        total = {n: sum(math.exp(v[r["obs"], a] / lam[n]) for a in nest if nest[a] == n and a not in gone) for n in "ab"}
+        whole = sum(total[n] ** lam[n] for n in "ab" if total[n])
+        n = nest[r["alt"]]
+        assert r["probability"] == pytest.approx(math.exp(v[r["obs"], r["alt"]] / lam[n]) * total[n] ** (lam[n] - 1) / whole, rel=1e-6)
+
+
 def test_spatial_lag_effects_redistribute(spark):
     d = dgp.simulate_sar_mnl(spark, 600, 8, {"x": -0.5}, interaction_params={"income_x_x": 0.2}, k=2)
     m = ChoiceModel(d.choice_table, d.formula, graph=d.graph, lag=True)
