@@ -7,11 +7,16 @@ chooser meets all alternatives. The chosen alternative is left out of the draw a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from ..functions.md5 import Digests
 from ..functions.uniform import gumbel, uniform
 
 #: Universes up to this many alternatives are sent to every executor; larger ones are joined by key.
@@ -27,10 +32,81 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ALTERNATIVES else df
 
 
+def _frontrunners(choosers: DataFrame, positions: DataFrame, n: int, seed: int, obs_id: str, alt_id: str, weights: str | None) -> DataFrame | None:
+    """Of the pairs of choosers and positions those that may be among a chooser's first n + 1, at least as many; None where
+    only all pairs can be ranked: few alternatives with a positive weight, or a null id.
+
+    Every pair's hash is made, in numpy and 32 bits of it, and nothing but frontrunners leaves the task. Both weighted orders
+    are those of -ln(u) / w. A bound that about n + 6 sqrt(n) + 30 pairs of a chooser meet picks most of them; a chooser of
+    whom fewer than n + 1 meet it surely is ranked as a whole."""
+    spark, need = choosers.sparkSession, n + 1
+    table = positions.withColumns({"_text": F.col(alt_id).cast("string"), "_weight": F.col(weights).cast("double") if weights else F.lit(1.0)}).toArrow()
+    w = table.column("_weight").to_numpy()
+    inside = np.flatnonzero(w > 0)  # not for a missing weight
+    expected = n + 6 * np.sqrt(n) + 30
+    if table.column("_text").null_count or len(inside) <= max(need, expected):
+        return None
+    table, w = table.take(pa.array(inside)).combine_chunks(), w[inside]
+    bound = expected / len(w)
+    if weights:
+        low, high = 0.0, 1.0
+        while -np.expm1(-w * high).sum() < expected:
+            high *= 2
+        for _ in range(200):
+            bound = (low + high) / 2
+            low, high = (bound, high) if -np.expm1(-w * bound).sum() < expected else (low, bound)
+        least = np.maximum(0, np.floor(np.exp(-w * bound) * 2.0**32) - 2).astype(np.uint32)
+    at = [table.schema.get_field_index(c) for c in positions.columns]
+    shared = spark.sparkContext.broadcast((table.column("_text").to_pylist(), w, table.select(at)))
+
+    def ratio(first: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The order of a u of which that many 2^-32 are known, downwards."""
+        u = first / 2.0**32
+        return -np.log(np.where(u > 0, u, 1e-300)) / w if weights else u
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, w, own = shared.value
+        digests = Digests([t.encode() for t in texts])
+        for part in parts:
+            rows, picked = [], []
+            for of, first in digests.first_words([p.encode() for p in part.column(part.num_columns - 1).to_pylist()]):
+                row, alt = np.nonzero(first >= least if weights else first <= np.uint32(bound * 2.0**32 + 1))
+                ends = first[row, alt].astype(float), first[row, alt] + 1.0
+                best, worst = (ratio(ends[1], w[alt]), ratio(ends[0], w[alt])) if weights else (ratio(ends[0], 1), ratio(ends[1], 1))
+                sure = np.bincount(row[worst <= bound * (1 - 1e-9)], minlength=len(of))
+                for i in np.flatnonzero(sure < need).tolist():  # ranked as a whole
+                    every = np.arange(len(w))
+                    more = (ratio(first[i] + 1.0, w), ratio(first[i].astype(float), w)) if weights else (ratio(first[i].astype(float), 1), ratio(first[i] + 1.0, 1))
+                    others = row != i
+                    row, alt = np.concatenate([row[others], np.full(len(w), i)]), np.concatenate([alt[others], every])
+                    best, worst = np.concatenate([best[others], more[0]]), np.concatenate([worst[others], more[1]])
+                order = np.lexsort((worst, row))
+                begin = np.searchsorted(row[order], np.arange(len(of)))
+                last = worst[order[begin + n]]
+                keep = best <= last[row] * (1 + 1e-9) + 1e-300
+                rows.append(of[row[keep]])
+                picked.append(alt[keep])
+            if rows:
+                mine = part.select(range(part.num_columns - 1)).take(pa.array(np.concatenate(rows)))
+                theirs = own.take(pa.array(np.concatenate(picked))).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*mine.columns, *(c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in theirs.columns)], names=[*choosers_columns, *positions_columns])
+
+    choosers_columns, positions_columns = choosers.columns, positions.columns
+    prefix = F.concat(F.concat_ws("|", F.lit(str(seed)), F.col(obs_id).cast("string")), F.lit("|"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    # a number given by hand, so that small rows that make much work are not put into one task
+    dealt = choosers.withColumn("_prefix", prefix).repartition(tasks, obs_id)
+    return dealt.mapInArrow(run, StructType([*choosers.schema.fields, *positions.schema.fields]))
+
+
 def sample_ranked(choosers: DataFrame, positions: DataFrame, n: int, seed: int, obs_id: str, alt_id: str, chosen: str | None = None, weights: str | None = None, method: str = "gumbel", rows: int = 0) -> DataFrame:
     """(obs_id, alt_id, slot): n alternatives without replacement for each chooser, by rank of hash keys. weights names a
-    column of positions; rows with weight 0 or less are drawn only if a chooser has too few others."""
-    pairs = choosers.crossJoin(maybe_broadcast(positions, rows))
+    column of positions; rows with weight 0 or less are drawn only if a chooser has too few others. Only what may be among
+    the first n is ranked, so pairs are neither sorted nor shuffled."""
+    rows = rows or positions.count()
+    pairs = _frontrunners(choosers, positions, n, seed, obs_id, alt_id, weights) if rows <= BROADCAST_ALTERNATIVES else None
+    if pairs is None:
+        pairs = choosers.crossJoin(maybe_broadcast(positions, rows))
     if chosen:
         pairs = pairs.filter(~F.col(alt_id).eqNullSafe(F.col(chosen)))
     u = uniform(seed, obs_id, alt_id)
