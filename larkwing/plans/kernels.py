@@ -6,6 +6,7 @@ that derivatives come from complex steps, exact to machine precision.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +17,18 @@ from .packing import Block
 FAR = -1e30
 
 
+@functools.cache
+def _sequence(n: int, k: int) -> np.ndarray:
+    return np.stack([halton(n, q, 11) for q in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47)[:k]], axis=1)
+
+
+@functools.cache
+def _normal_table() -> tuple[np.ndarray, np.ndarray]:
+    """The inverse distribution function, far below the simulation error; made once by each worker, not by each task."""
+    grid = np.linspace(0, 1, 1 << 15)
+    return grid, norm_ppf(np.clip(grid, 1 / (1 << 16), 1 - 1 / (1 << 16)))
+
+
 def lse(v: np.ndarray, mask: np.ndarray | None = None, axis: int = -1) -> np.ndarray:
     """log sum exp over entries of the mask; FAR where there is none."""
     if mask is not None:
@@ -175,14 +188,10 @@ class Structure:
         k, r = len(self.random_names), self.n_draws
         if self.draw_type == "random":
             return np.stack([np.random.default_rng(int.from_bytes(hashlib.md5(f"{self.seed}|{p}".encode()).digest()[:8], "little")).standard_normal((r, k)) for p in persons])
-        base = np.stack([halton(r, q, 11) for q in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47)[:k]], axis=1)
+        base, grid, table = _sequence(r, k), *_normal_table()
         digest = [np.frombuffer(b"".join(hashlib.md5(f"{self.seed}|{p}|{q}".encode()).digest()[:8] for q in range(k)), "<u8") for p in persons]
         u = (base[None] + (np.stack(digest).astype(float) / 2.0**64)[:, None, :]) % 1.0
-        # a table of the inverse distribution function is far below the simulation error
-        grid = np.linspace(0, 1, 1 << 15)
-        if not hasattr(self, "_table"):
-            self._table = norm_ppf(np.clip(grid, 1 / (1 << 16), 1 - 1 / (1 << 16)))
-        return np.interp(u, grid, self._table)
+        return np.interp(u, grid, table)
 
     def coefficients(self, parts: dict, z: np.ndarray) -> np.ndarray:
         if self.correlated:
@@ -266,8 +275,64 @@ class Structure:
 STEP = 1e-30
 
 
+#: Utilities (observations x alternatives x draws) that are held at once: as many as the cache holds.
+HELD = 1 << 18
+
+
+def mixed_derivatives(structure: Structure, block: Block, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Log likelihood of each observation and its derivatives by the raw parameters, for mixed logits without panels, nests and
+    graphs: the draws' derivatives of the choice, weighted by its probabilities, with those of the coefficients by complex
+    steps. None for other models and where a choice is not available."""
+    rows = np.arange(len(block.av))
+    if not structure.random or structure.panel or structure.nests or structure.graph is not None or not len(rows) or not block.av[rows, block.chosen].all():
+        return None
+    s, at = structure, structure.names.index
+    fixed, drawn = [at(n) for n in s.beta_names], [at(n) for n in s.random_names]
+    parts = s.split(s.natural(raw))
+    stepped = []
+    for k in range(len(fixed), len(raw)):
+        x = raw.astype(complex)
+        x[k] += 1j * STEP
+        stepped.append(s.split(s.natural(x)))
+    base = np.where(block.av, block.x[:, :, fixed] @ parts["beta"] + block.lnpi, FAR)
+    ll, out = np.empty(len(rows)), np.empty((len(rows), len(raw)))
+    size = max(1, HELD // (base.shape[1] * s.n_draws))
+    for a in range(0, len(rows), size):
+        own = slice(a, a + size)
+        x, n = block.x[own], rows[: len(block.x[own])]
+        z, chosen = s.draws([str(p) for p in block.person[own]]), block.chosen[own]
+        c = s.coefficients(parts, z).transpose(0, 2, 1)
+        v = x[:, :, drawn] @ c if len(drawn) > 1 else x[:, :, drawn] * c
+        v += base[own][:, :, None]
+        of_choice = v[n, chosen]
+        top = v.max(axis=1)
+        v -= top[:, None]
+        np.exp(v, out=v)
+        total = v.sum(axis=1)
+        log_p = of_choice - top - np.log(total)
+        most = log_p.max(axis=1, keepdims=True)
+        p = np.exp(log_p - most)
+        ll[own] = most[:, 0] + np.log(p.mean(axis=1))
+        p /= p.sum(axis=1, keepdims=True)
+        # what the choice has of each column more than the mean over alternatives: (observations, columns, draws)
+        more = x[n, chosen][:, :, None] - x.transpose(0, 2, 1) @ v / total[:, None]
+        out[own, : len(fixed)] = np.einsum("nkr,nr->nk", more[:, fixed], p)
+        for k, moved in enumerate(stepped, len(fixed)):
+            slope = s.coefficients(moved, z).imag / STEP
+            out[own, k] = np.einsum("nqr,nrq,nr->n", more[:, drawn], slope, p)
+    slope = np.array([(s.natural(raw + 1j * STEP * (np.arange(len(raw)) == k))[k]).imag / STEP for k in range(len(fixed))])
+    out[:, : len(fixed)] *= slope
+    return ll, out
+
+
 def scores(structure: Structure, block: Block, raw: np.ndarray) -> np.ndarray:
-    """Of each unit: derivatives of its log likelihood with respect to the raw parameters, by complex steps."""
+    """Of each unit: derivatives of its log likelihood with respect to the raw parameters, exact or by complex steps."""
+    if (found := mixed_derivatives(structure, block, raw)) is not None:
+        return found[1]
+    return stepped_scores(structure, block, raw)
+
+
+def stepped_scores(structure: Structure, block: Block, raw: np.ndarray) -> np.ndarray:
     out = []
     for k in range(len(raw)):
         x = raw.astype(complex)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 
-from .kernels import Structure, mnl_derivatives, scores
+from .kernels import Structure, mixed_derivatives, mnl_derivatives, scores
 from .packing import Block, ChoiceArrays
 
 
@@ -39,8 +39,11 @@ class Objective:
     def __init__(self, arrays: ChoiceArrays, structure: Structure):
         self.arrays, self.structure, self.jobs = arrays, structure, 0
         self.plain = not (structure.random or structure.nests or structure.graph is not None)
+        df = arrays.df
+        if structure.random and not structure.panel:  # small rows that make much work: a number of tasks given by hand
+            df = df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism), "obs")
         # spills to disk rather than failing; lost partitions are recomputed from the packed plan
-        self.data = arrays.df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.data = df.persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
         self.data.unpersist()
@@ -60,10 +63,14 @@ class Objective:
                         ll, g, h = mnl_derivatives(structure, block, theta)
                         total[i] += np.concatenate([[ll], g if gradient else [], h.ravel()])
                         continue
-                    ll, w = structure.contributions(block, structure.natural(theta))
+                    if direct := mixed_derivatives(structure, block, theta):
+                        (ll, s), w = direct, block.w
+                    else:
+                        ll, w = structure.contributions(block, structure.natural(theta))
+                        s = scores(structure, block, theta) if gradient else None
                     values = [[float((w * ll.real).sum())]]
                     if gradient:
-                        s = scores(structure, block, theta) * w[:, None]
+                        s = s * w[:, None]
                         values.append(s.sum(axis=0))
                         if meat:
                             values.append((s.T @ s).ravel())

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from larkwing.plans import kernels
 from larkwing.functions.stats import chi2_ppf, chi2_sf, halton, norm_cdf, norm_ppf, realise
 from larkwing.plans.kernels import Edges, Structure, mnl, mnl_derivatives, nested, nested_scl, sar_filter, scl, scores
 from larkwing.plans.packing import Block
@@ -108,3 +109,23 @@ def test_statistics():
     assert np.allclose(halton(4, 3), [1 / 3, 2 / 3, 1 / 9, 4 / 9])
     z = R.normal(size=20_000)
     assert abs(realise("triangular", 1.0, 2.0, z).mean() - 1) < 0.05 and abs(np.ptp(realise("uniform", 0, 3.0, z)) - 6) < 0.1
+
+
+@pytest.mark.parametrize("kind", ["mixed", "lognormal", "correlated"])
+def test_mixed_derivatives_are_those_of_complex_steps(kind, monkeypatch):
+    monkeypatch.setattr(kernels, "HELD", 3 * 8 * J)  # some observations at once
+    s, b = Structure(["x", "y"], **KINDS[kind]), block(R.normal(size=(11, J, 2)))
+    b.av = b.av & (R.random(b.av.shape) < 0.7)
+    b.av[np.arange(11), b.chosen] = True
+    raw = R.normal(0, 0.3, len(s.param_names))
+    ll, g = kernels.mixed_derivatives(s, b, raw)
+    assert np.allclose(ll, s.contributions(b, s.natural(raw))[0], atol=1e-12)
+    assert np.allclose(g, kernels.stepped_scores(s, b, raw), atol=1e-12)
+    b.av[0, b.chosen[0]] = False
+    assert kernels.mixed_derivatives(s, b, raw) is None
+
+
+def test_table_of_draws_outlives_a_structure(monkeypatch):
+    want = Structure(["x"], random={"x": "normal"}, n_draws=8).draws(["a", "b"])
+    monkeypatch.setattr(kernels, "norm_ppf", lambda *_: 1 / 0)  # not made again for the structure of another task
+    assert (Structure(["x"], random={"x": "normal"}, n_draws=8).draws(["a", "b"]) == want).all()
