@@ -22,13 +22,18 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import math
+import pickle
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -200,9 +205,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = TOXIC, ordinary: int = ORDINARY) -> tuple[list[str], list[str]]:
-    """At most that many toxic and ordinary texts of labelled rows that are not held out, drawn by a hash of the id: the
-    labels are thinned to about twice the bound before anything is sorted, so the bound holds at any size."""
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = TOXIC, ordinary: int = ORDINARY) -> DataFrame:
+    """(id, text, y): at most that many toxic and ordinary texts of labelled rows that are not held out, drawn by a hash of the
+    id: the labels are thinned to about twice the bound before anything is sorted, so the bound holds at any size."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
     u = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("id")), F.lit(1 << 32))
@@ -210,13 +215,37 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     for y, bound in ((1, toxic), (0, ordinary)):
         part = usable.filter((F.col("y") == y) & (u < int(min(1.0, 2 * bound / max(1, counts.get(y, 0))) * (1 << 32)))).orderBy(u, "id").limit(bound)
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").distinct()
-    rows = sorted(texts.collect(), key=lambda r: (r["id"], r["text"] or ""))
-    return [r["text"] or "" for r in rows if r["y"] == 1], [r["text"] or "" for r in rows if r["y"] == 0]
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").distinct()
+
+
+def _by_class(rows: Iterable[tuple]) -> tuple[list[str], list[str]]:
+    rows = sorted((key, text or "", y) for key, text, y in rows)
+    return [t for _, t, y in rows if y == 1], [t for _, t, y in rows if y == 0]
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, **options) -> tuple[list[str], list[str]]:
+    """The toxic and the ordinary texts that are learnt from."""
+    return _by_class(_sample(docs, labels, **options).collect())
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system, as the worker lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> CompressionClassifier:
-    return CompressionClassifier.fit(*training_sample(docs, labels, **options))
+    """Fitted by one task: the sample and what training takes stay out of the driver, which gets a few thousand bytes."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = CompressionClassifier.fit(*_by_class(row for part in parts for row in zip(*(c.to_pylist() for c in part.columns), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        _give_back()
+
+    found = _sample(docs, labels, **options).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else CompressionClassifier()
 
 
 def toxicity(docs: DataFrame, model: CompressionClassifier, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

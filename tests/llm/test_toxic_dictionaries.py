@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from larkwing.llm.toxicity import CompressionClassifier, _cost, training_sample
+from larkwing.llm.toxicity import CompressionClassifier, _cost, fit, training_sample
 
 from .test_native import docs
 
@@ -35,3 +35,14 @@ def test_sample_with_repeated_ids(spark):
     table = docs(spark, [(1, "b"), (1, "a"), (1, "a"), (3, None), (None, "n"), (4, "d")])
     labels = spark.createDataFrame([(1, 0), (1, 1), (3, 0), (None, 1), (4, None), (9, 1)], "doc_id long, toxic int")
     assert training_sample(table, labels) == training_sample(table.repartition(3), labels.repartition(2)) == (["a", "b"], [""])
+
+
+def test_fit_leaves_the_training_to_an_executor(spark, monkeypatch):
+    table = docs(spark, [(i, f"{'wuzzled grubnik' if i % 3 else 'plain words'} of row {i}") for i in range(120)])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)], "doc_id long, toxic int")
+    want = CompressionClassifier.fit(*training_sample(table, labels))
+    monkeypatch.setattr(CompressionClassifier, "fit", classmethod(lambda *_: 1 / 0))  # the driver's
+    got = fit(table.repartition(3), labels)
+    assert (got.ordinary, got.toxic) == (want.ordinary, want.toxic)
+    empty = fit(table.limit(0), labels)
+    assert empty.score("wuzzled") == 0
