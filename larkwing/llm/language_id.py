@@ -6,7 +6,8 @@ vote with one-versus-one machines: between the families, then between the langua
 squared hinge loss with an L2 penalty by accelerated gradient steps on a bounded, documented sample: PER_LANGUAGE documents of
 each language, drawn by a hash of the id after thinning to about twice that, so that the bound holds at any size. Each
 sampled text also gives a short excerpt, as short texts are the hard ones. FAMILY groups language codes; a code that is not
-in it is a family of its own.
+in it is a family of its own. One task learns: it gets the sample in order, a batch at a time, and keeps what features are
+not zero; the driver gets weights only.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; rows with null lang or null id are not learnt
 from; with one language, or none, every other text gets it, or `und`; repeated rows each get their row; an empty table gives
@@ -15,12 +16,15 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,14 +69,32 @@ def features(text: str) -> np.ndarray:
     return x / max(np.sqrt((x * x).sum()), 1e-12)
 
 
-def _machine(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, steps: int = 120) -> np.ndarray:
+class _Rows(NamedTuple):
+    """Rows of features without their zeros: how many each row has, one at least, their places and their values."""
+
+    n: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+
+    def take(self, rows: np.ndarray) -> _Rows:
+        inside = np.repeat(rows, self.n)
+        return _Rows(self.n[rows], self.place[inside], self.value[inside])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.value * w[self.place], np.cumsum(self.n) - self.n)
+
+    def summed(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.place, self.value * np.repeat(weights, self.n), 1 << BITS)
+
+
+def _machine(x: _Rows, y: np.ndarray, penalty: float = 0.01, steps: int = 120) -> np.ndarray:
     """Weights of a linear support vector machine with squared hinge loss; y is 1 or -1, both sides weigh the same."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = look = np.zeros(x.shape[1])
+    w = look = np.zeros(1 << BITS)
     rate, momentum = 1 / (2 + penalty), 1.0
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ look))
-        new = look - rate * (penalty * look - 2 * ((weight * slack * y) @ x))
+        slack = np.maximum(0, 1 - y * x.times(look))
+        new = look - rate * (penalty * look - 2 * x.summed(weight * slack * y))
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         look = new + (momentum - 1) / after * (new - w)
         w, momentum = new, after
@@ -82,11 +104,11 @@ def _machine(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, steps: int = 1
 class _Votes:
     """One-versus-one machines between classes."""
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray):
+    def __init__(self, x: _Rows, labels: np.ndarray):
         self.classes = sorted(set(labels))
         self.pairs = list(combinations(range(len(self.classes)), 2))
         rows = [np.isin(labels, (self.classes[a], self.classes[b])) for a, b in self.pairs]
-        self.weights = np.array([_machine(x[r], np.where(labels[r] == self.classes[a], 1.0, -1.0)) for (a, b), r in zip(self.pairs, rows, strict=True)], np.float32)
+        self.weights = np.array([_machine(x.take(r), np.where(labels[r] == self.classes[a], 1.0, -1.0)) for (a, b), r in zip(self.pairs, rows, strict=True)], np.float32)
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         if not self.pairs:
@@ -101,21 +123,23 @@ class _Votes:
 
 
 class LanguageModel:
-    def __init__(self, texts: list[str], languages: list[str]):
-        xs, ys = [], []
-        for i, (text, language) in enumerate(zip(texts, languages, strict=True)):
+    def __init__(self, sample: Iterable[tuple[str | None, str]] = ()):
+        """sample: (text, language), passed through once."""
+        places, values, ys = [], [], []
+        for i, (text, language) in enumerate(sample):
             if text and _LETTER.search(text):
-                xs.append(features(text))
-                ys.append(language)
                 words = text.split()
                 at, n = (i * 7919) % len(words), 2 + i % 9
-                if _LETTER.search(part := " ".join(words[at : at + n])):
-                    xs.append(features(part))
+                part = " ".join(words[at : at + n])
+                for own in (text, part) if _LETTER.search(part) else (text,):
+                    x = features(own)
+                    places.append(np.flatnonzero(x).astype(np.int32))
+                    values.append(x[places[-1]])
                     ys.append(language)
-        x, y = np.array(xs), np.array(ys, dtype=object)
-        groups = np.array([family(v) for v in ys], dtype=object)
+        y, groups = np.array(ys, dtype=object), np.array([family(v) for v in ys], dtype=object)
+        x = _Rows(np.array([len(p) for p in places], np.int64), np.concatenate(places), np.concatenate(values)) if ys else None
         self.families = _Votes(x, groups) if ys else None
-        self.languages = {g: _Votes(x[groups == g], y[groups == g]) for g in set(groups)}
+        self.languages = {g: _Votes(x.take(groups == g), y[groups == g]) for g in set(groups)}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or self.families is None or not _LETTER.search(text):
@@ -130,17 +154,31 @@ def held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
+def _sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame | None:
+    """(lang, k, text): at most per_language texts of each language, numbered; None if there are no languages."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
-        return LanguageModel([], [])
+        return None
     u = F.pmod(F.xxhash64(F.lit("language"), F.col("id")), F.lit(1 << 32))
     share = parameter_table(docs.sparkSession, [(k, int(min(1.0, 2 * per_language / n) * (1 << 32))) for k, n in counts.items()], "lang string, below long")
     drawn = usable.withColumn("u", u).join(share, "lang").filter("u < below")
     drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u", "id", "text"))).filter(F.col("k") <= per_language)
-    rows = sorted(drawn.select("lang", "k", "text").collect(), key=lambda r: (r["lang"], r["k"]))
-    return LanguageModel([r["text"] or "" for r in rows], [r["lang"] for r in rows])
+    return drawn.select("lang", "k", "text")
+
+
+def fit(docs: DataFrame, **options) -> LanguageModel:
+    """Fitted by one task: the sample and what training takes stay out of the driver."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = LanguageModel((text, lang) for part in parts for text, lang in zip(part.column(1).to_pylist(), part.column(0).to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    sample = _sample(docs, **options)
+    if sample is None:
+        return LanguageModel()
+    found = sample.repartition(1).sortWithinPartitions("lang", "k").select("lang", "text").mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else LanguageModel()
 
 
 def language_id(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
