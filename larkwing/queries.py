@@ -17,6 +17,7 @@ from .operators import graph as G
 from .operators import probabilities as P
 from .operators import sampling as S
 from .operators import simulation as M
+from .operators.shared import Steps
 from .plans.diagnostics import hausman_test, iia_test, lm_error_test, lm_lag_test, lr_test, wald_test
 from .plans.model import ChoiceModel
 from .plans.spec import ModelSpec, formula_design
@@ -157,9 +158,11 @@ def matrix_dense_gather(spark, d):
 
 # ---- sampling: suppliers as alternatives
 def _supplier_choice(spark, d) -> tuple[DataFrame, DataFrame]:
-    lines, orders = read(spark, d, "lineitem"), read(spark, d, "orders")
-    top = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).groupBy("o_custkey").agg(F.max(F.struct("l_extendedprice", -F.col("l_orderkey"), -F.col("l_linenumber"), "l_suppkey")).alias("t"))
-    who = top.select(F.col("o_custkey").alias("c_custkey"), F.col("t.l_suppkey").alias("choice"))
+    # of each order first, so that fewer lines move; once, as samples read the choosers several times
+    lines = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max(F.struct("l_extendedprice", -F.col("l_linenumber"), "l_suppkey")).alias("t"))
+    orders = read(spark, d, "orders").select("o_orderkey", "o_custkey")
+    top = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.max(F.struct("t.l_extendedprice", -F.col("l_orderkey"), "t.col2", "t.l_suppkey")).alias("t"))
+    who = Steps(spark, "choosers").table(top.select(F.col("o_custkey").alias("c_custkey"), F.col("t.l_suppkey").alias("choice")), "who")
     return who, read(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") + 1000.5).alias("weight"))
 
 
