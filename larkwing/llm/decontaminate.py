@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, without_keys
+from .common import giving_back, row_key, without_keys
 from .textops import pieces, separators, string_bytes, word_hashes
 
 BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
@@ -213,7 +213,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
                 )
 
     kind = small.schema["doc_id"].dataType.simpleString()
-    return small.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_words long, longest_item string, longest_at long")
+    return small.mapInArrow(giving_back(run), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_words long, longest_item string, longest_at long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:

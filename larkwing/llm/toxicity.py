@@ -22,8 +22,6 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import functools
 import gc
 import math
@@ -38,6 +36,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 STRATEGY = zstandard.STRATEGY_GREEDY
 #: Bytes of the trained dictionaries; bytes more that a toxic part costs given ordinary text than given toxic text.
 ORDINARY_BYTES, TOXIC_BYTES, GAP, KNOWN = 3600, 60_000, 2, 4
@@ -147,6 +147,10 @@ class CompressionClassifier:
                 best = own
         return best
 
+    def forget(self) -> None:
+        """Drops what was made for scoring."""
+        self._made, self._words = None, {}
+
     def score(self, text: str | None) -> float:
         words = normal(text) if self.toxic else b""
         return 1 / (1 + math.exp(-(2.0 * min(self.excess(words), 20) + 1))) if words else 0.0
@@ -228,21 +232,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, **options) -> tuple[list
     return _by_class(_sample(docs, labels, **options).collect())
 
 
-def _give_back() -> None:
-    """Returns freed memory to the system, as the worker lives on."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def fit(docs: DataFrame, labels: DataFrame, **options) -> CompressionClassifier:
     """Fitted by one task: the sample and what training takes stay out of the driver, which gets a few thousand bytes."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = CompressionClassifier.fit(*_by_class(row for part in parts for row in zip(*(c.to_pylist() for c in part.columns), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
-        _give_back()
+        gc.collect()
+        give_back()
 
     found = _sample(docs, labels, **options).repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else CompressionClassifier()
@@ -256,6 +253,8 @@ def toxicity(docs: DataFrame, model: CompressionClassifier, threshold: float = 0
         for part in parts:
             score = np.array([model.score(t) for t in part["text"]], float)
             yield part[["doc_id", "held_out"]].assign(score=score, predicted=(score >= threshold).astype(np.int32))
+        model.forget()
+        give_back()
 
     kind = small.schema["doc_id"].dataType.simpleString()
     return small.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
@@ -265,7 +264,10 @@ def drop_toxic(docs: DataFrame, model: CompressionClassifier, threshold: float =
     """docs without the rows whose text scores at least the threshold; all columns stay."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(model.score).astype(float)
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield texts.map(model.score).astype(float)
+        model.forget()
+        give_back()
 
     return docs.filter(score(F.col(text_col)) < threshold)
