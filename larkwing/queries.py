@@ -151,9 +151,9 @@ def alt_series_broadcast(spark, d):
 @query(f"WITH {_GRID}, c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM choosers), a AS (SELECT n_nationkey, {_RANK} AS j FROM alts) SELECT c_custkey, n_nationkey, CAST((i * 31 + j * 17) % 101 AS DOUBLE) AS z FROM c, a")
 def matrix_dense_gather(spark, d):
     t = flagship_table(spark, d)
-    n, j = t.n_observations, t.universe.count()
-    i, k = np.meshgrid(np.arange(n), np.arange(j), indexing="ij")
-    return t.add_matrix("z", (i * 31 + k * 17) % 101).df.select("c_custkey", "n_nationkey", "z")
+    j = t.universe.count()
+    rows = spark.range(t.n_observations).select("id", F.transform(F.sequence(F.lit(0), F.lit(j - 1)), lambda k: ((F.col("id") * 31 + k * 17) % 101).cast("double")).alias("values"))
+    return t.add_matrix("z", rows).df.select("c_custkey", "n_nationkey", "z")
 
 
 # ---- sampling: suppliers as alternatives

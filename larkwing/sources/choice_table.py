@@ -7,16 +7,22 @@ model does not use.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from ..operators import sampling as S
+from ..operators.shared import Steps
 
 RESERVED = ("alt_pos", "chosen", "available", "pi", "obs_weight")
+#: Bytes of an array that leave the driver at once.
+SLICE_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -177,28 +183,55 @@ class ChoiceTable:
         return self._with(df.withColumn(name, value).drop("_value", "_hit"), interactions=tuple(i for i in self.interactions if i != name))
 
     def add_matrix(self, name: str, data) -> ChoiceTable:
-        """A chooser x alternative variable from: (obs, alt, value) pairs, (alt, value) rows, or an array: (n, J) or flat n * J
-        over this table's rows, (n, all alternatives) over the universe, or one value for each alternative of the universe.
-        Rows of arrays follow the order of the ids."""
+        """A chooser x alternative variable from: (obs, alt, value) pairs, (alt, value) rows, (row, array of values) rows whose
+        numbers are 0, 1, ... once each, or an array: (n, J) or flat n * J over this table's rows, (n, all alternatives) over
+        the universe, or one value for each alternative of the universe. Rows of arrays, and numbers of rows, follow the order
+        of the ids. An array leaves the driver slice by slice; one that does not fit there comes as numbered rows."""
         if isinstance(data, DataFrame):
             if len(data.columns) == 3:
                 return self.add_pairwise_variable(name, data)
             a, v = data.columns
+            if isinstance(data.schema[v].dataType, ArrayType):
+                rows = data.select(F.col(a).cast("long").alias("_row"), F.col(v).cast("array<double>").alias("_values"))
+                size = rows.agg(F.count("_values").alias("n"), F.countDistinct("_row").alias("rows"), F.min("_row").alias("least"), F.max("_row").alias("most"), F.min(F.size("_values")).alias("a"), F.max(F.size("_values")).alias("b")).first()
+                if (size["rows"], size["least"], size["most"], size["a"]) != (size["n"], 0, size["n"] - 1, size["b"]):
+                    raise ValueError(f"{name}: rows are not numbered 0, 1, ... once each, or differ in length")
+                return self._dense(name, (size["n"], size["b"]), lambda steps, width: rows)
             table = S.maybe_broadcast(data.select(F.col(a).alias(self.alt_id), F.col(v).cast("double").alias(name)), self.n_alternatives_full or 0)
             return self._with(self.df.drop(name).join(table, self.alt_id, "left"))
         x = np.asarray(data, float)
-        spark, n, width, full = self.df.sparkSession, self.n_observations, self.n_alternatives, self.universe.count()
+        spark, full = self.df.sparkSession, self.universe.count()
         if x.shape == (full,):
             table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], f"_pos int, {name} double").join(self.universe, "_pos").drop("_pos")
             return self._with(self.df.drop(name).join(S.maybe_broadcast(table, full), self.alt_id, "left"))
-        if x.shape == (n * width,):
-            x = x.reshape(n, width)
-        if x.shape not in ((n, width), (n, full)):
-            raise ValueError(f"{name}: shape {x.shape} fits neither {n} x {width} nor {n} x {full}")
-        rows = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "_row long, _values array<double>")
-        order = self.df.select(self.obs_id).distinct().withColumn("_row", (F.row_number().over(Window.orderBy(self.obs_id)) - 1).cast("long"))
-        df = self.df.drop(name).join(order.join(rows, "_row").drop("_row"), self.obs_id)
-        if x.shape[1] == width and (self.sampling in ("census", "long") or width != full):
+
+        def sliced(steps: Steps, width: int) -> DataFrame:
+            m = x.reshape(-1, max(1, width)) if x.ndim == 1 else x
+            some = max(1, SLICE_BYTES // (8 * max(1, m.shape[1])))
+            for i in range(0, max(1, len(m)), some):
+                part = np.ascontiguousarray(m[i : i + some])
+                values = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32)), pa.array(part.ravel()))
+                out = steps.append(spark.createDataFrame(pa.table({"_row": np.arange(i, i + len(part)), "_values": values})), "values")
+            return out
+
+        return self._dense(name, x.shape, sliced)
+
+    def _dense(self, name: str, shape: tuple[int, ...], values: Callable[[Steps, int], DataFrame]) -> ChoiceTable:
+        """values gives (_row, _values) of a table with so many alternatives. Ids are numbered where they lie: sorted in ranges, a range's rows counted from the sum
+        of those before."""
+        spark, full = self.df.sparkSession, self.universe.count()
+        steps = Steps(spark, "matrix")
+        ids = self.df.groupBy(self.obs_id).agg(F.count("*").alias("_k")).orderBy(self.obs_id).withColumn("_at", F.monotonically_increasing_id())
+        ids = steps.table(ids, "ids").withColumn("_range", F.shiftright("_at", 33))
+        ranges = sorted(ids.groupBy("_range").agg(F.count("*").alias("n"), F.max("_k").alias("k")).collect())
+        n, width = sum(r["n"] for r in ranges), max((r["k"] for r in ranges), default=0)
+        if shape not in ((n, width), (n, full), (n * width,)):
+            raise ValueError(f"{name}: shape {shape} fits neither {n} x {width} nor {n} x {full}")
+        before = np.cumsum([0] + [r["n"] for r in ranges]).tolist()
+        starts = spark.createDataFrame([(r["_range"], b) for r, b in zip(ranges, before[:-1], strict=True)], "_range long, _before long")
+        order = ids.join(F.broadcast(starts), "_range").select(self.obs_id, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("_row"))
+        df = self.df.drop(name).join(order.join(values(steps, width), "_row").drop("_row"), self.obs_id)
+        if (len(shape) == 1 or shape[1] == width) and (self.sampling in ("census", "long") or width != full):
             at = F.col("alt_pos")
         else:
             df, at = df.join(S.maybe_broadcast(self.universe, full), self.alt_id), F.col("_pos")

@@ -1,17 +1,18 @@
 """Assembly, estimation, inference, simulation and spatial operators on small synthetic data."""
 
 import math
+import os
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkwing import ChoiceModel, ChoiceTable, ModelSpec, compute_inclusion_probs, hausman_test, iia_test, lm_error_test, lm_lag_test, lr_test, sample_alternatives, wald_test
+from larkwing import ChoiceModel, ChoiceTable, ModelSpec, compute_inclusion_probs, hausman_test, iia_test, lm_error_test, lm_lag_test, lr_test, queries, sample_alternatives, wald_test
 from larkwing.operators import distance as D
 from larkwing.operators import graph as G
 from larkwing.operators.sampling import inclusion_probability
-from larkwing.sources import dgp
+from larkwing.sources import choice_table, dgp
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +59,30 @@ def test_matrix_formats_agree(tiny):
     assert {r[2] for r in rows(t.add_matrix("z", np.array([1.0, 2, 3, 4])))} == {1.0, 2, 3, 4}
 
 
+def test_matrix_of_numbered_rows_and_of_slices(spark, monkeypatch):
+    monkeypatch.setattr(choice_table, "SLICE_BYTES", 8 * 4 * 7)  # seven rows of four a slice
+    r = np.random.default_rng(4)
+    ids = r.permutation(200).tolist()
+    t = ChoiceTable.from_tables(spark.createDataFrame([(i * 3, 0.5) for i in ids], "obs_id long, x double").repartition(9), spark.createDataFrame([(a, 1.0) for a in (13, 10, 12, 11)], "alt_id long, y double"))
+    m = r.normal(size=(200, 4))
+    want = {(3 * i, 10 + k): m[i, k] for i in range(200) for k in range(4)}
+    rows = spark.createDataFrame([(i, m[i].tolist()) for i in ids], "i long, v array<double>").repartition(7)
+    for given in (rows, m, m.ravel()):
+        out = t.add_matrix("z", given).df
+        assert {(x["obs_id"], x["alt_id"]): x["z"] for x in out.select("obs_id", "alt_id", "z").collect()} == want and out.count() == 800
+    for bad in (rows.filter("i <> 5"), rows.withColumn("i", F.col("i") + 1), rows.withColumn("i", F.greatest("i", F.lit(1))), rows.withColumn("v", F.slice("v", 1, 3)), rows.filter("i < 199")):
+        with pytest.raises(ValueError):
+            t.add_matrix("z", bad)
+
+
+def test_dense_gather_makes_no_matrix_on_the_driver(spark, monkeypatch):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    made, create = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: made.append(len(data)) or create(self, data, *a, **k))
+    assert queries.matrix_dense_gather(spark, "/root/testdata/sf0.001").count() == 150 * 25 and max(made, default=0) < 150
+
+
 def test_long_tables_are_validated(spark):
     ok = spark.createDataFrame([(1, 1, 1), (1, 2, 0)], "o long, a long, y int")
     assert ChoiceTable.from_long(ok, "o", "a", "y").n_alternatives == 2
